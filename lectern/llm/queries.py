@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, near, quality, rules, secrets
+from . import exact, near, packing, pii, quality, rules, secrets, shards, tokens
 from .common import table
 
 
@@ -13,27 +13,62 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counts(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.score(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op5_exact_dedup, op7_quality_rules, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_sharding,
+        op3_near_dedup,
+        op4_token_counts,
+        op5_exact_dedup,
+        op6_bpe_round_trip,
+        op7_quality_rules,
+        op8_pii,
+        op9_packing,
+        op10_secret_scan,
+    )
+}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES = {
+    "op2_sharding": shards.ORACLE,
     "op5_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
 g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
