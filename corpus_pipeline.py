@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact, near, rules, secrets
+from lectern.llm import exact, near, packing, rules, secrets
 from lectern.llm.common import cut, table
 
 
@@ -36,8 +36,6 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, dealt into sequences of 1024."""
-    from lectern.llm import packing
-
     return packing.pack(docs)
 
 
