@@ -27,7 +27,7 @@ LABELLED = 6000
 TREES, TREE_ROWS = 128, 256
 #: Share of labelled clean rows that the threshold may give up.
 CLEAN_LOSS = 0.002
-#: Share of labelled clean rows left outside the span of each statistic, at either end.
+#: Share of labelled clean rows left outside the span of each statistic at most, at either end.
 SPAN = 0.001
 
 LOWER, UPPER, DIGIT, MARK = 1, 2, 4, 8
@@ -207,7 +207,8 @@ def calibrate(x: np.ndarray, clean: np.ndarray, loss: float = CLEAN_LOSS) -> Ver
     none = np.zeros(x.shape[1])
     if clean.sum() < 2 or clean.all():
         return Verdict(none, none, IsolationForest(), np.inf)
-    low, high = np.quantile(x[clean], [SPAN, 1 - SPAN], axis=0)
+    low = np.quantile(x[clean], SPAN, axis=0, method="lower")
+    high = np.quantile(x[clean], 1 - SPAN, axis=0, method="higher")
     verdict = Verdict(low, high, IsolationForest(), np.inf)
     far = verdict.excess(x)
     verdict.forest.fit(far)

@@ -1,0 +1,171 @@
+"""The one-pass operators against plain code: quality, rules, tokens, secrets, personal data."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from lectern.llm import pii, quality, rules, secrets, tokens
+
+
+def rows(df):
+    return df.collect()
+
+
+def texts(df):
+    return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+
+
+def counted(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    tri = Counter(zip(w, w[1:], w[2:]))
+    hit = {i + j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_rule_counts(request, labels, which):
+    df = request.getfixturevalue(which)
+    got = rows(rules.score(df, rules.fit(df, labels)))
+    want = sorted((str(i), *counted(t)) for i, t in texts(df))
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    for r in got:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept)
+
+
+def test_rules_tell_junk_from_clean(spark, labels):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marked = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = rows(rules.score(big, rules.fit(big, marked)).join(marked, "doc_id").where("not base_failed"))
+    clean, junk = [r.kept for r in got if r.quality == 1], [r.kept for r in got if r.quality == 0]
+    assert np.mean(clean) > 0.98 and np.mean(junk) < 0.1
+
+
+def test_rules_without_labels(odd, labels, empty):
+    verdict = rules.fit(odd, labels.limit(0))
+    assert all(r.kept != r.base_failed for r in rows(rules.score(odd, verdict)))
+    assert rules.score(empty, verdict).count() == 0
+    kept = rules.keep(odd, verdict)
+    assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in rows(rules.score(odd, verdict)))
+
+
+def test_isolation_forest():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(500, 3)), [[9, 9, 9]]])
+    s = rules.IsolationForest(64, 128).fit(x).score(x)
+    assert s.argmax() == 500 and 0 < s.min() and s.max() < 1
+
+
+def test_quality_held_out(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marked = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = rows(quality.score(big, quality.fit(big, marked)).join(marked, "doc_id"))
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    out = [r for r in got if r.held_out]
+    assert np.mean([r.predicted == r.quality for r in out]) > 0.9
+    assert np.mean([r.predicted for r in out if r.quality == 1]) > 0.97
+
+
+def test_quality_odd(odd, empty, labels):
+    model = quality.fit(odd, labels.limit(0))
+    assert [r.score for r in rows(quality.score(odd, model))] == [0.5] * odd.count()
+    assert quality.score(empty, model).count() == 0
+
+
+@pytest.mark.parametrize("which", ["odd", "docs", "empty"])
+def test_token_counts(request, which):
+    df = request.getfixturevalue(which)
+    lib = Tokenizer.from_file(public_tokenizers.path(tokens.COUNTED))
+    want = sorted((str(i), len(t.encode()), n := len(lib.encode(t, add_special_tokens=False).ids), n > 2048) for i, t in texts(df))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in rows(tokens.counts(df))) == want
+
+
+@pytest.mark.parametrize("which", ["odd", "docs", "empty"])
+def test_round_trip(request, which):
+    df = request.getfixturevalue(which)
+    lib = Tokenizer.from_file(public_tokenizers.path(tokens.ROUND_TRIP))
+    want = []
+    for i, t in texts(df):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows(tokens.round_trip(df))) == sorted(want)
+
+
+ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def secret_spans(t):
+    out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(ASSIGN, t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+SECRETS = ["password: token: abcdefg", "Passwd='abc'", "AKIA" + "A" * 16 + " AKIAAKIA12", "0123456789abcdef01234567", "api_key = 'a.b/c+d=' secret:abcdef", "key\x85token=abcdefſ"]
+
+
+def test_secrets(spark, docs, odd, empty):
+    more = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
+    for df in (docs, odd, empty, more):
+        want = {(str(i), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in secret_spans(t)).encode()).hexdigest(), len(secret_spans(t))) for i, t in texts(df)}
+        assert {(str(r.doc_id), r.base_sha256, r.n_assign + r.n_access + r.n_hex) for r in rows(secrets.scan(df))} == want
+
+
+def test_linked_parts():
+    weak = "auth = q9Zx7Lm2Kp4Rt8Vw"
+    assert secrets.linked_spans(weak, []) == []
+    both = f"login = alice\n{weak}\nhttps://db.example.com/x"
+    kinds = [k for k, _, _ in secrets.linked_spans(both, [])]
+    assert kinds == ["identifier", "weak_secret", "endpoint"]
+    assert secrets.linked_spans(f"login = alice\n\n{weak}", []) == []
+    assert secrets.linked_spans(f"login = alice{' ' * 300}{weak}", []) == []
+
+
+def test_redaction(odd):
+    out = {r.doc_id: r for r in secrets.redact(odd).collect() if r.doc_id}
+    assert secrets.redact(odd).schema == odd.schema and secrets.redact(odd).count() == odd.count()
+    assert out[8].text.endswith("<assign>\"") and out[8].n_chars == len(out[8].text) and out[3].text is None and out[1].text == out[2].text
+    assert secrets.redacted("a secret: abcdef0123456789abcdef0123 b") == "a <assign> b"
+
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def pii_spans(t):
+    good = {
+        "email": lambda m: True,
+        "ip": lambda m: all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.split(".")),
+        "card": lambda m: 12 <= len(d := re.sub(r"\D", "", m)) <= 19 and luhn(d),
+        "phone": lambda m: 9 <= len(re.sub(r"\D", "", m)) <= 15,
+    }
+    return sorted((m.start(), i, m.end(), k) for i, (k, p) in enumerate(PII.items()) for m in re.finditer(p, t) if good[k](m[0]))
+
+
+CASES = ["a@b.c_d@e.f g@h", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004 1.1.1", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (234) 567-8901. +49 30 1234", "1." * 400, "é@x.yz ö a@b.cd", "a@b.c@d.e", "bob [at] example [dot] com call 555-123-4567 Dr. Jane Smith"]
+
+
+def test_pii(spark, docs, odd, empty):
+    more = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    for df in (docs, odd, empty, more):
+        want = {(str(i), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in pii_spans(t)).encode()).hexdigest()) for i, t in texts(df)}
+        got = rows(pii.scan(df))
+        assert {(str(r.doc_id), r.base_sha256) for r in got} == want
+        for r in got:
+            assert r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added == (len(r.spans.split(",")) if r.spans else 0)
+
+
+def test_expectation_maximisation(spark):
+    patterns = [("k", [1, 1, 1, 1, 1], 40.0), ("k", [-1, -1, -1, -1, -1], 60.0), ("k", [1, 1, 1, -1, 1], 10.0), ("k", [-1, -1, -1, 1, -1], 10.0)]
+    got = {tuple(r.votes): r.q for r in pii.posteriors(spark.createDataFrame(patterns, "kind string, votes array<int>, n double")).collect()}
+    assert got[(1, 1, 1, -1, 1)] > 0.9 and got[(-1, -1, -1, 1, -1)] < 0.1
