@@ -7,17 +7,17 @@ coordinate with the probability of their (weighted) Jaccard similarity, and a
 text costs its shingles plus about K ln K darts. Bands of ROWS coordinates are
 joined; pairs that meet are checked exactly on their shingle sets.
 
-Within a bucket of candidates no pairs are listed. All members are compared with
+Within a band's bucket no pairs are listed. All members are compared with
 one pivot (the member whose buckets are fullest). Members similar to the pivot
 are linked. Two members that are not both linked to pivot p can only be similar
 if they share a shingle outside p or lack a common shingle of p: with neither,
 their similarity is at most that of each to p. So pivots with unlinked members
 deal their members into new buckets, (p, shingle outside p) and (p, shingle
-missing from p), which go through the same step until none is left; a bucket in
-which every member with open links has been a pivot deals no more. Counts of
-missing and extra shingles bound how many two similar members must share, so few
-of them are dealt, and ordinary edits are not dealt by missing ones at all (see
-``_next_keys``).
+missing from p). Counts of missing and extra shingles bound how many two similar
+members must share, so few of them are dealt, and ordinary edits are not dealt by
+missing ones at all (see ``_next_keys``). Dealt buckets of up to SMALL members are
+closed by comparing the pairs that those counts allow; larger ones go through the
+same step again.
 
 Classes are the connected components of the links. A pair at similarity 0.8 is
 missed by all bands with probability (1 - 0.8**ROWS)**BANDS, about 1 in 10,000.
@@ -50,8 +50,8 @@ DARTS = math.log(K) + 4
 FILTER = 1 << 25
 #: Pairs of one pivot that go to one task together.
 SALT = 256
-#: Pivots of each bucket once no more than FEW memberships are left, to end in fewer rounds; the links found are the same.
-PIVOTS, FEW = 16, 20_000
+#: A dealt bucket of no more members is closed by comparing those that can be similar; a larger one gets a pivot.
+SMALL = 1024
 
 
 def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -195,17 +195,17 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, pivot, open, common, n_node, n_pivot) of distinct pairs (node, pivot, open). A pivot of many pairs is met in parts of SALT."""
+    """Adds common, n_node and n_pivot to distinct pairs (node, pivot). A pivot of many pairs is met in parts of SALT."""
     per = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("per"))
     salted = pairs.join(per, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("per") / SALT))))
     centre = salted.select("pivot", "part").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs")), "pivot")
-    mine = salted.select("node", "pivot", "open", "part").join(sets.select("node", "shingles"), "node")
+    mine = salted.join(sets.select("node", "shingles"), "node")
     both = mine.join(centre, ["pivot", "part"])
-    return both.select("node", "pivot", "open", F.size(F.array_intersect("shingles", "theirs")).alias("common"), F.size("shingles").alias("n_node"), F.size("theirs").alias("n_pivot"))
+    return both.select(*pairs.columns, F.size(F.array_intersect("shingles", "theirs")).alias("common"), F.size("shingles").alias("n_node"), F.size("theirs").alias("n_pivot"))
 
 
 def _next_keys(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, outlier) of the buckets that pivots with unlinked members deal out.
+    """(key, size, node, outlier, n_pivot, d, m) of the buckets that pivots with unlinked members deal out.
 
     With t = similarity, |p| the pivot's size, M and D a member's missing and extra
     shingles, members u, v are similar only if x + y >= [t(|p| + |Du| + |Dv|) - |p|
@@ -222,20 +222,32 @@ def _next_keys(found: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     d = F.col("n_node") - F.col("common")
     need = (F.lit(t - 1) * F.col("n_pivot") + t * d + m) / (1 + t)
     room = (t * m - t * d) / (1 + t)
-    rows = found.select("node", "pivot", "outlier", d.alias("d"), need.alias("need"), room.alias("room"))
+    rows = found.select("node", "pivot", "outlier", "n_pivot", d.alias("d"), m.alias("m"), need.alias("need"), room.alias("room"))
     by_pivot = rows.groupBy("pivot").agg(F.min(F.when(F.col("outlier"), F.col("need"))).alias("least"), F.greatest(F.max("room"), F.lit(0.0)).alias("most"), F.count(F.lit(1)).alias("per")).where("least is not null")
     rows = rows.join(by_pivot, "pivot")
     shared = F.ceil(F.greatest(F.col("need"), F.col("least")) - F.col("most") - 1e-6)
     shrunk = (F.col("room") >= F.col("least") - 1e-6) | (F.col("outlier") & (F.col("most") >= F.col("need") - 1e-6))
     part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("per") / SALT)))
-    rows = rows.select("node", "pivot", "outlier", (F.col("d") - F.greatest(shared, F.lit(1)) + 1).cast("int").alias("first"), shrunk.alias("shrunk"), part.alias("part"))
+    rows = rows.select("node", "pivot", "outlier", "n_pivot", "d", "m", (F.col("d") - F.greatest(shared, F.lit(1)) + 1).cast("int").alias("first"), shrunk.alias("shrunk"), part.alias("part"))
     rows = rows.where("first > 0 or shrunk")
     centre = rows.select("pivot", "part").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs")), "pivot")
     both = rows.join(sets, "node").join(centre, ["pivot", "part"])
     extra = F.transform(F.array_except("shingles", "theirs"), lambda s: F.xxhash64(F.col("pivot"), F.lit(1), s))
     extra = F.slice(F.sort_array(extra), F.lit(1), F.greatest(F.col("first"), F.lit(0)))
     lacking = F.when(F.col("shrunk"), F.transform(F.array_except("theirs", "shingles"), lambda s: F.xxhash64(F.col("pivot"), F.lit(2), s))).otherwise(F.array().cast("array<long>"))
-    return both.select(F.explode(F.concat(extra, lacking)).alias("key"), "node", "outlier")
+    dealt = both.select(F.explode(F.concat(extra, lacking)).alias("key"), "node", "outlier", "n_pivot", "d", "m")
+    live = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("outlier").alias("open")).where("size > 1 and open").drop("open")
+    return dealt.join(live, "key")
+
+
+def _closed(members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of small buckets that can be similar, given what their members share with the bucket's pivot."""
+    a, b = members.alias("a"), members.alias("b")
+    x = F.least(F.col("a.d"), F.col("b.d")) + F.least(F.col("a.m"), F.col("b.m"))
+    common = F.col("a.n_pivot") - F.col("a.m") - F.col("b.m") + x
+    union = F.col("a.n_pivot") + F.col("a.d") + F.col("b.d") - x
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.outlier") | F.col("b.outlier")) & (common >= F.lit(similarity) * union)
+    return a.join(b, on).select(F.col("b.node").alias("node"), F.col("a.node").alias("pivot")).distinct()
 
 
 def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -243,31 +255,35 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY) -> D
     banded = reps.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(banded.join(shared, "key"))
-    rank = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    rank = cut(members.groupBy("node").agg(F.sum("size").alias("weight")))
     sets = cut(sets_of(docs, rank.select("node")))
-    members = members.select("key", "node", F.lit(True).alias("outlier"))
-    done, seen, lanes = [], None, 1
-    while True:
-        # The pivot of a lane: of the members that some link is open for, the one met most often.
-        lane = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(lanes))
-        ranked = members.where("outlier").join(rank, "node")
-        pivots = ranked.groupBy("key", lane.alias("lane")).agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"), F.count(F.lit(1)).alias("n"))
-        size = pivots.groupBy("key").agg((F.sum("n") > F.count(F.lit(1)) + int(lanes == 1)).alias("open"))
-        pairs = members.join(pivots.join(size, "key"), "key").where("node <> pivot").groupBy("node", "pivot").agg(F.max("open").alias("open"))
-        if seen is not None:
-            pairs = pairs.join(seen, ["node", "pivot"], "left").where("dealt is null or open and not dealt").drop("dealt")
-        found = cut(compare(pairs, sets))
+    members = members.select("key", "size", "node", F.lit(True).alias("outlier"))
+    done, met, first = [], None, True
+
+    def judged(pairs: DataFrame) -> DataFrame:
         union = F.col("n_node") + F.col("n_pivot") - F.col("common")
-        found = found.withColumn("outlier", F.col("common") < F.lit(similarity) * union)
+        found = cut(compare(pairs, sets).withColumn("outlier", F.col("common") < F.lit(similarity) * union))
         done.append(found.where("not outlier").select("node", "pivot"))
-        dealt = cut(_next_keys(found.where("open"), sets, similarity))
-        live = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("outlier").alias("any_open")).where("size > 1 and any_open")
-        members = cut(dealt.join(live.select("key"), "key"))
-        if members.isEmpty():
-            break
-        now = found.select("node", "pivot", F.col("open").alias("dealt"))
-        seen = now if seen is None else cut(seen.unionByName(now).groupBy("node", "pivot").agg(F.max("dealt").alias("dealt")))
-        lanes = PIVOTS if members.count() <= FEW else 1
+        return found
+
+    while True:
+        if not first:
+            judged(_closed(members.where(F.col("size") <= SMALL), similarity))
+            members = members.where(F.col("size") > SMALL)
+            if members.isEmpty():
+                break
+        # The pivot: of the members that some link is open for, the one met most often.
+        pivots = members.where("outlier").join(rank, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"))
+        pairs = members.join(pivots, "key").where("node <> pivot").groupBy("node", "pivot").agg(F.max("size").alias("size"))
+        if met is not None:
+            pairs = pairs.join(met.select("node", "pivot"), ["node", "pivot"], "left_anti")
+        found = judged(pairs)
+        # A band's bucket of two is closed by its one comparison.
+        found = (found.where("size > 2") if first else found).drop("size")
+        # A pivot that meets more members deals out all it has met. Every round compares pairs not compared before, so rounds end.
+        met = found if met is None else cut(met.unionByName(found))
+        dealing = met.join(found.select("pivot").distinct(), "pivot", "left_semi")
+        members, first = cut(_next_keys(dealing, sets, similarity)), False
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
