@@ -122,9 +122,10 @@ def test_near_odd(odd, empty):
 
 def test_dart_signatures():
     rng = np.random.default_rng(2)
-    pool = near.mix(np.arange(1, 400, dtype=np.uint64))
+    pool = near.mix(np.arange(1, 500, dtype=np.uint64))
     for share, weights in ((0.8, None), (0.5, None), (0.5, 2.5)):
-        a, b = pool[:200], np.concatenate([pool[: int(200 * share)], pool[200 : 200 + int(200 * (1 - share))]])
+        same = round(200 * share)
+        a, b = pool[:200], np.concatenate([pool[:same], pool[200 : 400 - same]])
         w = np.ones(200) if weights is None else np.where(np.arange(200) % 2 == 0, weights, 0.5)
         s = near.dart_minhash(np.concatenate([a, b]), np.concatenate([w, w]), np.array([0, 200, 400]), 4096)
         wa, wb = dict(zip(a.tolist(), w, strict=True)), dict(zip(b.tolist(), w, strict=True))
