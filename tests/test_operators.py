@@ -94,3 +94,15 @@ def test_empty_frames(spark):
     assert layout.mark_furniture(empty).count() == 0
     assert layout.near_duplicates(empty).count() == 0
     assert layout.gated_sections(empty.select("doc_id", "ord", F.col("text").alias("candidate")), layout.staged_gate).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    from lectern.sources import sinks
+
+    df = spark.createDataFrame([(1, ["a", "b"])], "id int, tags array<string>")
+    for form in sinks.FORMATS:
+        path = sinks.write_tables({"t": df}, str(tmp_path / form), form)["t"]
+        back = spark.read.option("header", "true").format(form).load(path)
+        assert back.count() == 1 and set(back.columns) == {"id", "tags"}
+    with pytest.raises(ValueError):
+        sinks.write_tables({}, str(tmp_path), "xls")
