@@ -2,7 +2,7 @@
 
 Identifiers (user names, client ids, access ids), endpoints (addresses with a
 scheme, hosts with a port) and weak secrets (quoted or bare high-entropy strings
-after a weaker name) count for nothing alone. Each part opens an interval of
+after a weaker name, alone or within a compound one) count for nothing alone. Each part opens an interval of
 REACH characters within its scope (a run of lines without a blank one between);
 a weak secret and an identifier or endpoint whose intervals meet are reported as a
 linked credential. Base spans are always reported.
@@ -33,13 +33,21 @@ KINDS = ["assign", "access", "hex"]
 REACH = 200
 #: Bits a character that a weak secret has at least, and its least length.
 ENTROPY, LEAST_WEAK = 3.2, 12
-IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?(?:key_?)?id|key_?id)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+]{1,12}://[^\s"'<>]{4,}|(?:host|server|endpoint|url)["']?[ ]*[:=][ ]*["']?[A-Za-z0-9.-]{4,}(?::[0-9]{2,5})?)""", re.I | re.A)
-WEAK = re.compile(r"""\b(?:pass|pwd|key|auth|credential|signature|private_?key|bearer)["']?[ ]*(?:[:=]|[ ])[ ]*["']?([A-Za-z0-9+/_=-]{12,})""", re.I | re.A)
+#: A name may follow others, joined by '_', '-' or camel case, and be followed by a few parts joined alike, but for those that name something else.
+_BORDER = r"(?:\b|(?<=_)|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"
+_SECRET = r"(?:secret|token|password|passwd)"
+_WEAK = r"(?:(?:db|user|root|admin)?(?:pass(?:phrase|code)?|pwd)|(?:(?:secret|access|account|private|shared|signing|storage|master|auth|client|user)[_-]?)*keys?|auth|credentials?|signature|bearer)"
+_SUFFIX = r"[0-9]{{0,4}}(?:(?:[_-]|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?!(?:{})(?-i:(?![a-z0-9])))(?-i:[A-Z]?[a-z0-9]++|[A-Z0-9]++)){{0,4}}+"
+_NOT_WEAK = "ids?|names?|paths?|files?|dir|ur[il]|host|port|type|size|len|length|count|alg|algorithm|format|version|method|mode"
+_NOT_IDENTIFIER = f"{_SECRET}s?|{_WEAK}|agent|type|size|count|mode|role|group"
+_SET = r"""["']?[ \t]*[:=][ \t]*["']?"""
+IDENTIFIER = re.compile(rf"""{_BORDER}(?:user(?:name|id)?|login|account(?:name|id)?|client[_-]?id|access[_-]?(?:key[_-]?)?id|key[_-]?id){_SUFFIX.format(_NOT_IDENTIFIER)}{_SET}([A-Za-z0-9@._-]{{3,}})""", re.I | re.A)
+ENDPOINT = re.compile(rf"""\b[a-z][a-z0-9+]{{1,12}}://[^\s"'<>]{{4,}}|{_BORDER}(?:host(?:name)?|server|endpoint|url)[0-9]{{0,4}}{_SET}[A-Za-z0-9.-]{{4,}}(?::[0-9]{{2,5}})?""", re.I | re.A)
+WEAK = re.compile(rf"""{_BORDER}(?:(?:{_WEAK}|{_SECRET}){_SUFFIX.format(_NOT_WEAK)}{_SET}|{_WEAK}["']?[ \t]+["']?)([A-Za-z0-9+/_=-]{{12,}})""", re.I | re.A)
 _SCOPE = re.compile(r"\n[ \t\r]*\n")
 #: One of these stands in every text with a base span; cheap to look for.
 _HINT = re.compile(r"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{24}", re.I | re.A)
-_PARTS = re.compile(r"pass|pwd|key|auth|credential|signature|bearer", re.I | re.A)
+_PARTS = re.compile(r"pass|pwd|key|auth|credential|signature|bearer|secret|token", re.I | re.A)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
