@@ -2,7 +2,8 @@
 
 Base spans (e-mail, ip, card, phone) come from fixed patterns and are always
 reported. Wider patterns propose candidates: written-out e-mail addresses, numbers
-of seven digits and more, titled names. Five labelers (shape, gazetteer, words
+of seven digits and more, apart from base spans and from neighbours of a known
+shape, titled names. Five labelers (shape, gazetteer, words
 before, borders, size) vote 1, 0 or -1 on each candidate. Expectation-maximisation
 over the counts of vote patterns estimates how reliable each labeler is and gives
 every pattern a probability; with these as soft labels a naive Bayes classifier of
@@ -40,11 +41,22 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Shapes of personal numbers. A run of digits ends before a blank or bracket that one of them follows, so neighbours are judged apart.
+_ALONE = r"(?<!(?<![0-9])00[1-9][0-9]{1,2} )"
+_SHAPE = (
+    r"(?:(?:1[ .-])?(?:\([0-9]{3}\)[ .-]{0,2}[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-]{1,2}[0-9]{3}[ .-][0-9]{4}|[0-9]{3} [0-9]{3}[.-][0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4})"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:[3-6][0-9]|2[2-7])[0-9]{2}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}"
+    rf"|{_ALONE}(?:1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}|(?!000|666|9)[0-9]{{9}}|(?:[3-6][0-9]|2[2-7])[0-9]{{11,17}}))(?![0-9]|[.-][0-9])"
+)
 CANDIDATES = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]++)++",
-    "number": r"\(?[0-9](?:[\x20().-]{0,2}[0-9])++",
+    "number": rf"{_SHAPE}|\(?[0-9](?:(?!(?:[\x20()][\x20().-]?|[.-][\x20(]){_SHAPE})[\x20().-]{{0,2}}[0-9])++",
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?",
 }
+#: A text with its base spans overwritten: numbers end there, and positions stay.
+MASKED = """aggregate(base, named_struct('at', 0, 'out', cast(array() AS array<string>)),
+  (s, b) -> named_struct('at', greatest(s.at, b.end), 'out', array_append(s.out, concat(substr(t, s.at + 1, greatest(b.start - s.at, 0)), repeat('#', greatest(b.end - greatest(s.at, b.start), 0))))),
+  s -> concat(array_join(s.out, ''), substr(t, s.at + 1)))"""
 LABELERS = 5
 SPAN = "struct<start:int,end:int,m:string,left:string,right:string>"
 
@@ -109,7 +121,7 @@ def votes(kind: str, c: Column) -> Column:
     border = _vote(~border_bad & (left.rlike(r"\s$") | (left == "")), border_bad)
     if kind == "number":
         return F.array(
-            _vote(m.rlike(r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$") | m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$") | (n.between(13, 19) & luhn(d)), m.rlike(r"^[0-9]{4}[-.][0-9]{1,2}[-.][0-9]{1,2}$") | (n > 19)),
+            _vote(m.rlike(r"^(1[ .-])?(\([0-9]{3}\)|\(?[0-9]{3}\)?[ .-]{1,2})[ .-]{0,2}[0-9]{3}[ .-][0-9]{4}$") | m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$") | (n.between(13, 19) & luhn(d)), m.rlike(r"^[0-9]{4}[-.][0-9]{1,2}[-.][0-9]{1,2}$") | (n > 19)),
             _vote((n.between(13, 16) & d.rlike("^(4|5[1-5]|3[47]|6011)")) | (n.between(10, 11) & d.rlike("^1?[2-9][0-9]{2}[2-9]")), d.rlike(r"([0-9])\1{5}") | d.rlike("^0{3}")),
             _vote(left.rlike(r"(tel|phone|call|mobile|cell|fax|ssn|social|card|account|acct|passport|contact)[^a-z]*$"), left.rlike(r"(version|page|order|item|isbn|ref|build|figure|section|token|key)[^a-z]*$")),
             border,
@@ -157,7 +169,7 @@ def tagged(docs: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{SPAN}>")
     for kind in KINDS:
         rows = rows.withColumn(f"b_{kind}", F.when(F.col(when[kind]), spans_of("t", BASE[kind])).otherwise(none))
-    for kind, flag in (("email", "spelt"), ("number", "digit"), ("name", "titled")):
+    for kind, flag in (("email", "spelt"), ("name", "titled")):
         rows = rows.withColumn(f"c_{kind}", F.when(F.col(flag), spans_of("t", CANDIDATES[kind])).otherwise(none))
 
     def base(i: int, kind: str) -> Column:
@@ -165,6 +177,8 @@ def tagged(docs: DataFrame) -> DataFrame:
         return F.transform(good, lambda c: F.struct(c["start"].alias("start"), F.lit(i).alias("rank"), c["end"].alias("end"), F.lit(kind).alias("kind")))
 
     rows = rows.withColumn("base", F.sort_array(F.concat(*(base(i, k) for i, k in enumerate(KINDS)))))
+    rows = rows.withColumn("masked", F.when(F.size("base") > 0, F.expr(MASKED)).otherwise(F.col("t")))
+    rows = rows.withColumn("c_number", F.when(F.col("digit"), spans_of("masked", CANDIDATES["number"])).otherwise(none))
 
     def proposed(kind: str) -> Column:
         least = 7 if kind == "number" else 0

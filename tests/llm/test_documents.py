@@ -196,6 +196,21 @@ def test_pii(spark, docs, odd, empty):
             assert r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added == (len(r.spans.split(",")) if r.spans else 0)
 
 
+NEIGHBOURS = {
+    "555-123-4567 212-555-0199 415-555-2671": ["555-123-4567", "212-555-0199", "415-555-2671"], "room 12 555-123-4567": ["555-123-4567"], "10.1.2.3 555-123-4567": ["555-123-4567"], "10.1.2.3 7654321 x": ["7654321"],
+    "(212) 555-0199 (415)555-2671 17": ["(212) 555-0199", "(415)555-2671"], "7 123-45-6789 4111 1111 1111 1112 555.123.4567": ["123-45-6789", "4111 1111 1111 1112", "555.123.4567"],
+    "id 3 2125550199 44": ["2125550199"], "1-800-555-0199 2": ["1-800-555-0199"], "0044 2071234567": ["0044 2071234567"], "12-345-67-8901": ["12-345-67-8901"], "a@b.cd é 10.1.2.3 +1 234 567 8901, 555-123-4567": ["555-123-4567"], "3 4": [],
+}
+
+
+def test_neighbouring_numbers(spark):
+    df = spark.createDataFrame(list(enumerate(NEIGHBOURS)), "doc_id long, text string")
+    got = {r.doc_id: [c for c in r.candidates if c.kind == "number"] for r in rows(pii.tagged(df))}
+    assert {t: [t[c.start : c.end] for c in got[i]] for i, t in enumerate(NEIGHBOURS)} == NEIGHBOURS
+    shaped = {t[c.start : c.end] for i, t in enumerate(NEIGHBOURS) for c in got[i] if c.votes[0] == 1}
+    assert {"555-123-4567", "1-800-555-0199", "(415)555-2671", "123-45-6789"} <= shaped
+
+
 def test_expectation_maximisation(spark):
     patterns = [("k", [1, 1, 1, 1, 1], 40.0), ("k", [-1, -1, -1, -1, -1], 60.0), ("k", [1, 1, 1, -1, 1], 10.0), ("k", [-1, -1, -1, 1, -1], 10.0)]
     got = {tuple(r.votes): r.q for r in pii.posteriors(spark.createDataFrame(patterns, "kind string, votes array<int>, n double")).collect()}
