@@ -6,6 +6,8 @@ the band, so the join is an equi-join and never all pairs of a document.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,3 +149,62 @@ def alignment_units(text: Column, content_class: Column) -> Column:
         return F.struct(zh.alias("zh"), en.alias("en"), out.alias("out"))
 
     return F.aggregate(marked, zero, step, lambda s: s["out"])
+
+
+def best_lines(lines: DataFrame, items: list[tuple], floors: dict, least: float = 65.0) -> DataFrame:
+    """(item_id, doc_id, pos, score): for each part of the lines, every item's line of the greatest token-set ratio, from ``least`` on; ties go to the first.
+
+    Every line (doc_id, pos, line) meets every item (item_id, text). Common words give the ratios with the common words exactly; they begin both texts,
+    so the remaining one needs only the rest, is bounded by characters counted by bucket, and is scored only where it may reach an item's best so far. ``floors`` are scores known to be met by some line; the items are the bounded side.
+    """
+
+    def run(batches):
+        best = {i: (max(least, floors.get(k, least)), None) for i, (k, _) in enumerate(items)}
+        words = [set(t.split()) for _, t in items]
+        ids = {w: n for n, w in enumerate(sorted(set().union(*words)))}
+        sizes = np.zeros((len(ids), len(items)), dtype=np.int32)
+        for i, ws in enumerate(words):
+            for w in ws:
+                sizes[ids[w], i] = len(w) + 1
+        joined = lambda ws: " ".join(sorted(ws))
+        counts = lambda t: np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) & 127, minlength=128)
+        item_counts = np.array([counts(joined(ws)) for ws in words], dtype=np.int32).reshape(len(items), 128)
+        nx = item_counts.sum(1)
+
+        def offer(i, score, place):
+            if score > best[i][0] or score == best[i][0] and (best[i][1] is None or place < best[i][1]):
+                best[i] = (score, place)
+
+        for batch in batches:
+            first: dict[str, tuple] = {}
+            for d, p, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "line")), strict=True):
+                place = (d is None, d or 0, p)
+                if t not in first or place < first[t]:
+                    first[t] = place
+            every = [t for t in first if t.split()]
+            for start in range(0, len(every), 2000):
+                texts = every[start : start + 2000]
+                sets = [set(t.split()) for t in texts]
+                hy = np.array([counts(joined(ws)) for ws in sets], dtype=np.int32)
+                ny = hy.sum(1)
+                common = np.array([sizes[[ids[w] for w in ws if w in ids]].sum(0) for ws in sets])
+                for i in range(len(items)):
+                    if not nx[i]:
+                        continue
+                    nb = np.maximum(common[:, i] - 1, 0)
+                    known = np.where((nb == nx[i]) | (nb == ny), 100.0, 200.0 * nb / (nb + np.minimum(nx[i], ny)))
+                    bound = np.maximum(known, 200.0 * np.minimum(nx[i], ny) / (nx[i] + ny))
+                    at = np.flatnonzero(bound >= best[i][0] - 1e-6)
+                    bound = np.maximum(known[at], 200.0 * np.minimum(hy[at], item_counts[i]).sum(1) / (nx[i] + ny[at]))
+                    for j in np.argsort(-bound, kind="stable"):
+                        if bound[j] < best[i][0] - 1e-6:
+                            break
+                        n, score = at[j], known[at[j]]
+                        if score < 100:
+                            left, right = joined(words[i] - sets[n]), joined(sets[n] - words[i])
+                            score = max(score, 200.0 * (common[n, i] + S.lcs(left, right)) / (nx[i] + ny[n]))
+                        offer(i, float(score), first[texts[n]])
+        met = [(items[i][0], None if p[0] else p[1], p[2], s) for i, (s, p) in best.items() if p]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*met) if met else [()] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["item_id", "doc_id", "pos", "score"])
+
+    return lines.select("doc_id", "pos", "line").mapInArrow(run, "item_id long, doc_id long, pos int, score double")

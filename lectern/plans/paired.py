@@ -154,8 +154,12 @@ def q_fuzzy_best(spark, sf_dir):
     docs, items = B.table(spark, sf_dir, "documents"), B.table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage")
     lines = B.lines(docs).select("doc_id", "pos", "line").where("length(line) > 30").withColumn("line_id", F.xxhash64("doc_id", "pos"))
     shared = _windows(lines, "line_id", "line").join(_windows(items, "item_id", "passage"), "g").select("line_id", "item_id").distinct()
-    scored = shared.join(lines, "line_id").join(items, "item_id").withColumn("score", S.token_set_udf()(F.lower("passage"), F.lower("line")))
-    best = scored.where("score >= 65").groupBy("item_id").agg(F.max_by(F.struct("doc_id", "pos", "score"), F.struct("score", -F.col("doc_id"), -F.col("pos"))).alias("b"))
+    # What shares a window gives a score that the best is not below; every line is then held against every item.
+    met = shared.join(lines, "line_id").join(items, "item_id").withColumn("score", S.token_set_udf()(F.lower("passage"), F.lower("line")))
+    floors = {r["item_id"]: r["score"] for r in met.groupBy("item_id").agg(F.max("score").alias("score")).collect()}
+    bounded = [(r["item_id"], r["passage"]) for r in items.select("item_id", F.coalesce(F.lower("passage"), F.lit("")).alias("passage")).collect()]
+    scored = P.best_lines(lines.withColumn("line", F.lower("line")).repartition(2 * spark.sparkContext.defaultParallelism), bounded, floors)
+    best = scored.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "pos", "score"), F.struct("score", -F.col("doc_id"), -F.col("pos"))).alias("b"))
     return best.select("item_id", "b.doc_id", "b.pos", "b.score", (F.col("b.score") < 82).alias("mismatch"))
 
 

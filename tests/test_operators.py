@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import similarity as S
 from lectern.functions import text as T
 from lectern.operators import ai, layout, pairing
+from lectern.plans import registry
 from lectern.sources import docx
 
 
@@ -106,3 +107,30 @@ def test_sinks(spark, tmp_path):
         assert back.count() == 1 and set(back.columns) == {"id", "tags"}
     with pytest.raises(ValueError):
         sinks.write_tables({}, str(tmp_path), "xls")
+
+
+def test_best_lines_against_all_pairs(spark):
+    words = [f"{a}{b}" for a in ("con", "doc", "pro", "re", "sup") for b in ("trol", "ument", "cess", "view", "plier", "cord")]
+    items = [(i, " ".join(words[(i * 7 + j * (i + 1)) % 30] for j in range(5 + 5 * i))) for i in range(5)] + [(9, ""), (10, "zzz qqq")]
+    edited = [" ".join(w if j % 8 else w[::-1] for j, w in enumerate(t.split())) for _, t in items]
+    reordered = [" ".join(sorted(t.split(), key=lambda w: w[::-1])) for _, t in items]
+    lines = [(n, n % 3, t) for n, t in enumerate(edited + reordered[:3] + [" ".join(words[n % 30 : n % 30 + 9]) for n in range(60)] + [reordered[4], reordered[4], "", "controls documents processes reviewed"])]
+    df = spark.createDataFrame(lines, "doc_id long, pos int, line string").repartition(3)
+    want = {}
+    for k, t in items:
+        score, d, p = max((S.token_set_ratio(t, x), -d, -p) for d, p, x in lines)
+        if score >= 65:
+            want[k] = (-d, -p, score)
+    got = {}
+    for r in pairing.best_lines(df, items, {0: want[0][2]}).collect():
+        got[r.item_id] = max(got.get(r.item_id, (0, 0, 0)), (r.score, -r.doc_id, -r.pos))
+    assert {k: (-d, -p, s) for k, (s, d, p) in got.items()} == want and set(want) == {0, 1, 2, 3, 4, 10}
+
+
+def test_fuzzy_best_without_shared_windows(spark, tmp_path):
+    item = " ".join(f"Word{i}x" for i in range(24))
+    texts = {1: "nothing alike stands in this line of more than thirty characters", 2: " ".join("other" if i % 8 == 7 else w for i, w in enumerate(item.lower().split()))}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.QUERIES["q_fuzzy_best"](spark, str(tmp_path)).collect()
+    assert [(r.item_id, r.doc_id, r.pos, r.score) for r in got] == [(7, 2, 0, S.token_set_ratio(item.lower(), texts[2]))] and got[0].score > 90
