@@ -89,6 +89,13 @@ def q_parallel_runs(spark, sf_dir):
     return P.parallel_runs(spark.createDataFrame(PARALLEL, "doc_id int, ord int, page int, language string"))
 
 
+@query(f"""WITH {TURNS}, g AS (SELECT *, CASE WHEN language IS DISTINCT FROM lag(language) OVER w OR page IS DISTINCT FROM lag(page) OVER w THEN 1 ELSE 0 END AS new FROM turns WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM g), i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY ord) AS i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM r)
+SELECT a.doc_id, a.ord AS a_ord, b.ord AS b_ord FROM i a JOIN i b ON a.doc_id = b.doc_id AND b.run = a.run + 1 AND a.i = b.i AND a.n = b.n AND a.page = b.page AND a.language = 'zh' AND b.language = 'en' AND a.n BETWEEN 2 AND 8""")
+def q_parallel_turns(spark, sf_dir):
+    return P.parallel_runs(_turns(spark, sf_dir))
+
+
 @query(f"""WITH {TURNS}, m AS (SELECT a.block_id AS target_id, b.block_id, row_number() OVER (PARTITION BY a.block_id ORDER BY b.ord) AS n
   FROM turns a JOIN turns b ON a.doc_id = b.doc_id AND a.language = 'zh' AND abs(a.page - b.page) <= 1 AND a.block_id <> b.block_id)
 SELECT target_id, n::INT AS n, block_id FROM m WHERE n <= 8""")

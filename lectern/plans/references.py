@@ -71,6 +71,16 @@ def q_regulation_spans(spark, sf_dir):
     return found.select("doc_id", "ord", "name", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "version", "confidence")
 
 
+#: The row that FOUND leaves out; a Han letter right after the year keeps it out of the match, as in the application.
+FOUND_REST = [(1, 3, "YY/T 0287", 2, 11, "unknown", 0.98)]
+
+
+@query("SELECT * FROM " + values(FOUND + FOUND_REST, "doc_id, ord, name, start_at, end_at, version, confidence"))
+def q_regulation_spans_all(spark, sf_dir):
+    found = D.mentions(_cited(spark), REGULATIONS)
+    return found.select("doc_id", "ord", "name", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "version", "confidence")
+
+
 NEAR = [(1, 1, "EU MDR Regulation (EU) 2017/745", "Article 10"), (1, 1, "EU MDD 93/42/EEC", "Annex II")]
 
 
@@ -96,6 +106,16 @@ def q_ref_extract(spark, sf_dir):
     return spark.createDataFrame([(t,) for t, _ in IDS], "text string").select("text", F.array_sort(T.references("text")).alias("ids"))
 
 
+_REF = T.REFERENCE.replace("(?iU)", "(?i)")
+
+
+@query(f"""WITH {LINES}, r AS (SELECT doc_id, pos AS ord, list_sort(list_distinct(list_transform(regexp_extract_all(line, '{_REF}'), lambda m: upper(trim(regexp_replace(m, '\\s+', ' ', 'g')))))) AS ids FROM lines)
+SELECT doc_id, ord, ids FROM r WHERE len(ids) > 0""")
+def q_line_refs(spark, sf_dir):
+    rows = B.lines(B.table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").alias("ord"), F.array_sort(T.references("line")).alias("ids"))
+    return rows.where("size(ids) > 0")
+
+
 TOKENS = [("Articles 5, 6 and 7 of Annex IX", ["annex:ix", "article:5", "article:6", "article:7"]), ("Clause 4.2 and 4.3", ["clause:4.2", "clause:4.3"]), ("Parts 807 and 820", ["part:807", "part:820"]), ("nothing", [])]
 
 
