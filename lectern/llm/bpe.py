@@ -4,7 +4,8 @@ Two encoders of one word share the tables: ``Backtracker`` walks the longest
 tokens an Aho-Corasick automaton finds and steps back where two neighbours are
 not compatible; ``PrefixCounts`` holds, for every prefix of a word, the last
 token of its encoding and its number of tokens. Words met before are kept in a
-bounded table, so a text costs a few array operations a word.
+table of bounded size and found by hash; their characters are then compared, so a
+text costs a few array operations a word and ids never rest on a hash alone.
 
 A pair of tokens is compatible when encoding their joined text gives back the
 two. The ids of a vocabulary must be in the order of its merges, which is
@@ -14,17 +15,20 @@ checked when it is read.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 
-from .vec import U64, HashMap, code_points, mix, runs, slices, span_hashes
+from .vec import HashMap, code_points, differ, runs, slices, span_hashes, spread
 
 #: White space of Unicode, as the tokenizers' patterns take it.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Bytes that the table of words met may take, and pairs of tokens whose compatibility is remembered; both are refilled when full.
+ROOM, PAIRS = 40_000_000, 200_000
 #: What may follow an apostrophe in a contraction.
 ONE, TWO = "stmd", ("re", "ve", "ll")
 
@@ -89,6 +93,7 @@ class Vocabulary:
             s = "".join(back[c] for c in body)
             self.tokens[k] = s[:-1] + chr(256 + ord(s[-1])) if ends else s
         self.ids = {s: k for k, s in enumerate(self.tokens) if s}
+        self.longest = max(map(len, self.ids))
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         last = -1
@@ -138,7 +143,7 @@ class Vocabulary:
                 bound, a = a, made_a[1]
             else:
                 bound, b = b + 1, made_b[0]
-        if len(self._compatible) > 2_000_000:
+        if len(self._compatible) > PAIRS:
             self._compatible.clear()
         self._compatible[key] = good
         return good
@@ -248,8 +253,11 @@ class PrefixCounts:
         out = [0] * (n + 1)
         out[n] = count[n]
         for i in range(1, n):
-            t = s[: i - 1] + chr(256 + ord(s[i - 1]))
-            closing = [(len(t) - b, v.ids[t[b:]], b) for b in range(i) if t[b:] in v.ids]
+            closing = []
+            for b in range(max(0, i - v.longest), i):
+                token = v.ids.get(s[b : i - 1] + chr(256 + ord(s[i - 1])))
+                if token is not None:
+                    closing.append((i - b, token, b))
             _, before = self._last(closing, last)
             out[i] = count[before] + 1
         return out
@@ -331,22 +339,29 @@ def _contract(codes, kind, s, e, start, end, of, has, at):
 
 
 class Codec:
-    """Encodes texts of one vocabulary file; the words met are kept in a table of at most ``room`` entries."""
+    """Encodes texts of one vocabulary file; the words met are kept in a table of about ``room`` bytes."""
 
-    def __init__(self, path: str, room: int = 1_500_000, count_only: bool = False):
+    def __init__(self, path: str, room: int = ROOM, count_only: bool = False):
         self.v = Vocabulary(path)
         self.room, self.count_only = room, count_only
         self.one = PrefixCounts(self.v).total if count_only else Backtracker(self.v)
         self.spans = word_end_spans if self.v.suffix else byte_level_spans
         self._clear()
-        self.special = sorted(self.v.special.items())
+        # Of special strings at one place the longest counts, as the library has it.
+        self.special = re.compile("|".join(re.escape(t) for t in sorted(self.v.special, key=lambda t: (-len(t), t)))) if self.v.special else None
+        self.names = {k: t for t, k in self.v.special.items()}
         self._bytes = None
 
     def _clear(self) -> None:
-        self.map, self.size = HashMap(16), 0
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int32)
-        self.pool, self.held = np.zeros(1 << 16, np.int32), 0
+        self.map, self.size = HashMap(12), 0
+        self.odd: dict[str, int] = {}
+        self.begin, self.spelt = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.length, self.chars = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.pool, self.held = np.zeros(1 << 12, np.int32), 0
+        self.letters, self.written = np.zeros(1 << 12, np.uint32), 0
+
+    def _used(self) -> int:
+        return 64 * self.size + 4 * (self.held + self.written)
 
     def normal(self, text: str) -> str:
         """The text as the vocabulary's normaliser leaves it, but for white space, which is dropped later."""
@@ -361,25 +376,56 @@ class Codec:
             return "".join(c.lower() for c in text)
         return low.astype("<u4").tobytes().decode("utf-32-le")
 
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        if self.size + len(keys) > self.room:
-            self._clear()
+    @staticmethod
+    def _room(table: np.ndarray, n: int) -> np.ndarray:
+        """The table, with place for ``n`` values."""
+        if n <= len(table):
+            return table
+        out = np.zeros(max(n, len(table) * 3 // 2), table.dtype)
+        out[: len(table)] = table
+        return out
+
+    def _add(self, words: list[str]) -> np.ndarray:
+        """Entries of new words: their ids or counts, and their characters."""
         new = [self.one(w) for w in words]
         n = np.array(new if self.count_only else [len(x) for x in new], np.int32)
-        top = self.size + len(keys)
-        if top > len(self.length):
-            grow = max(top, 2 * len(self.length))
-            self.begin, self.length = np.resize(self.begin, grow), np.resize(self.length, grow)
-        self.length[self.size : top] = n
+        size = np.array([len(w) for w in words], np.int32)
+        low, top = self.size, self.size + len(words)
+        for name in ("begin", "spelt", "length", "chars"):
+            setattr(self, name, self._room(getattr(self, name), top))
+        self.length[low:top], self.chars[low:top] = n, size
+        codes = code_points("".join(words))
+        self.letters = self._room(self.letters, self.written + len(codes))
+        self.letters[self.written : self.written + len(codes)] = codes
+        self.spelt[low:top] = self.written + np.cumsum(size) - size
+        self.written += len(codes)
         if not self.count_only:
-            flat = np.fromiter((t for x in new for t in x), np.int32, int(n.sum()))
-            if self.held + len(flat) > len(self.pool):
-                self.pool = np.resize(self.pool, max(self.held + len(flat), 2 * len(self.pool)))
-            self.pool[self.held : self.held + len(flat)] = flat
-            self.begin[self.size : top] = self.held + np.cumsum(n) - n
-            self.held += len(flat)
-        self.map.put(keys, np.arange(self.size, top))
+            total = int(n.sum())
+            self.pool = self._room(self.pool, self.held + total)
+            self.pool[self.held : self.held + total] = np.fromiter((t for x in new for t in x), np.int32, total)
+            self.begin[low:top] = self.held + np.cumsum(n) - n
+            self.held += total
         self.size = top
+        return np.arange(low, top)
+
+    def _entries(self, codes: np.ndarray, joined: str, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The entry of each word of a slice. A word that only shares the hash of an entry gets one of its own, by its characters."""
+        word = lambda i: joined[s[i] : e[i]]
+        if self._used() > self.room:
+            self._clear()
+        keys = span_hashes(codes, s, e)
+        entry = self.map.get(keys)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            fresh, where = np.unique(keys[missing] | np.uint64(1), return_index=True)
+            self.map.put(fresh, self._add([word(i) for i in missing[where].tolist()]))
+            entry = self.map.get(keys)
+        for i in np.flatnonzero(differ(codes, s, e, self.letters, self.spelt[entry], self.chars[entry])).tolist():
+            w = word(i)
+            if w not in self.odd:
+                self.odd[w] = int(self._add([w])[0])
+            entry[i] = self.odd[w]
+        return entry
 
     def _words(self, texts: list[str]):
         """For each slice: (entry of each word, the piece each belongs to, document of each piece)."""
@@ -392,26 +438,7 @@ class Codec:
             tail = docs[-1]
             ends[-1] = self._whole(texts, docs, at, int(tail))
             s, e = self.spans(codes, at, ends)
-            keys = span_hashes(codes, s, e)
-            entry = self.map.get(keys)
-            missing = np.flatnonzero(entry < 0)
-            if len(missing):
-                fresh, where = np.unique(keys[missing], return_index=True)
-                where = missing[where]
-                cleared = self.size + len(fresh) > self.room
-                self._add(fresh, [joined[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)])
-                if cleared:
-                    fresh = np.unique(keys)
-                    entry = self.map.get(fresh)
-                    lost = fresh[entry < 0]
-                    if len(lost):
-                        order = np.argsort(keys, kind="stable")
-                        where = order[np.searchsorted(keys, lost, sorter=order)]
-                        room, self.room = self.room, self.size + len(lost)
-                        self._add(lost, [joined[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)])
-                        self.room = room
-                entry = self.map.get(keys)
-            yield entry, np.searchsorted(at, s, "right") - 1, docs
+            yield self._entries(codes, joined, s, e), np.searchsorted(at, s, "right") - 1, docs
 
     def _whole(self, texts, docs, at, doc: int) -> bool:
         """Whether the last piece of a slice ends its document."""
@@ -428,16 +455,12 @@ class Codec:
         """Texts cut at special strings: (ordinary parts, [(document, special id after the part or -1)])."""
         parts, owner = [], []
         for i, text in enumerate(texts):
-            rest = text
-            while True:
-                hits = [(rest.find(s), s) for s, _ in self.special if s in rest]
-                if not hits:
-                    break
-                k, s = min(hits)
-                parts.append(self.normal(rest[:k]))
-                owner.append((i, self.v.special[s]))
-                rest = rest[k + len(s) :]
-            parts.append(self.normal(rest))
+            at = 0
+            for m in self.special.finditer(text) if self.special else ():
+                parts.append(self.normal(text[at : m.start()]))
+                owner.append((i, self.v.special[m[0]]))
+                at = m.end()
+            parts.append(self.normal(text[at:] if at else text))
             owner.append((i, -1))
         return parts, owner
 
@@ -448,15 +471,7 @@ class Codec:
         for entry, piece, docs in self._words(parts):
             n = self.length[entry].astype(np.int64)
             np.add.at(sizes, docs, np.bincount(piece, n, len(docs)).astype(np.int64))
-            total = int(n.sum())
-            step = np.ones(total, np.int64)
-            begin = self.begin[entry]
-            if total:
-                at = np.cumsum(n) - n
-                step[at[0]] = begin[0]
-                step[at[1:]] = begin[1:] - (begin[:-1] + n[:-1] - 1)
-                np.cumsum(step, out=step)
-            found.append(self.pool[step])
+            found.append(self.pool[spread(self.begin[entry], n)])
         ids = np.concatenate(found) if found else np.zeros(0, np.int32)
         extra = np.array([s >= 0 for _, s in owner], np.int64)
         if extra.any():
@@ -476,38 +491,35 @@ class Codec:
         np.add.at(total, np.array([i for i, _ in owner], np.int64), out + np.array([s >= 0 for _, s in owner], np.int64))
         return total
 
-    def prefix_table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(end of each word of the normalised text, tokens up to there); the text has no special string in it."""
-        text = self.normal(text)
-        ends, totals, base, held = [], [], 0, 0
-        for docs, at, joined in slices([text]):
-            codes = code_points(joined)
-            if len(codes):
-                last = np.array([base + len(codes) == len(text)])
-                s, e = self.spans(codes, at, last)
-                n = np.array([self._count(joined[a:b]) for a, b in zip(s, e, strict=True)], np.int64)
-                ends.append(base + e)
-                totals.append(held + np.cumsum(n))
-                base, held = base + len(codes), held + int(n.sum())
+    def prefix_table(self, text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """(normalised text, end of each word and special string, tokens up to there, whether it is a special string)."""
+        whole, ends, totals, marks, held, base = [], [], [], [], 0, 0
+        for part, (_, special) in zip(*self._parts([text]), strict=True):
+            done = base + len(part)
+            for _, at, joined in slices([part]):
+                codes = code_points(joined)
+                if len(codes):
+                    s, e = self.spans(codes, at, np.array([base + len(codes) == done]))
+                    entry = self._entries(codes, joined, s, e)  # may replace the table of lengths
+                    n = self.length[entry].astype(np.int64)
+                    ends.append(base + e)
+                    totals.append(held + np.cumsum(n))
+                    marks.append(np.zeros(len(e), bool))
+                    base, held = base + len(codes), held + int(n.sum())
+            whole.append(part)
+            if special >= 0:
+                whole.append(self.names[special])
+                base, held = base + len(whole[-1]), held + 1
+                ends.append(np.array([base]))
+                totals.append(np.array([held]))
+                marks.append(np.array([True]))
         if not ends:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(ends), np.concatenate(totals)
-
-    def _count(self, word: str) -> int:
-        x = self.one(word)
-        return x if self.count_only else len(x)
+            return "".join(whole), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return "".join(whole), np.concatenate(ends), np.concatenate(totals), np.concatenate(marks)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, read from the offset table."""
         if self._bytes is None:
             self._bytes = self.v.piece_bytes()
         data, at = self._bytes
-        begin, n = at[ids], at[ids + 1] - at[ids]
-        begin, n = begin[n > 0], n[n > 0]
-        if not len(n):
-            return b""
-        step = np.ones(int(n.sum()), np.int64)
-        first = np.cumsum(n) - n
-        step[0] = begin[0]
-        step[first[1:]] = begin[1:] - (begin[:-1] + n[:-1] - 1)
-        return data[np.cumsum(step)].tobytes()
+        return data[spread(at[ids], at[ids + 1] - at[ids])].tobytes()

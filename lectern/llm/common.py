@@ -17,10 +17,13 @@ from pyspark.sql import types as T
 from .vec import batches
 
 #: Characters of text that an Arrow operator handles at a time; a longer text stands alone.
-GROUP = 2_000_000
+GROUP = 500_000
 #: The blanks of the contracts, as a regular expression.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+#: A key is hot when it holds more than this share of all rows; so there are fewer than HOT of them.
+HOT = 1000
+
 _shipped: set[str] = set()
 
 
@@ -100,6 +103,19 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def join_sized(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` joined with a stored ``table`` whose column ``size`` says how many rows each of its keys meets.
+
+    Hot keys, of which there are fewer than HOT whatever the corpus holds, are
+    broadcast, so that their rows stay where they are; only the others are shuffled.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * HOT > F.lit(total)
+    hot = F.broadcast(table.where(is_hot))
+    rest = rows.join(F.broadcast(table.where(is_hot).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(table.where(~is_hot), on))
+
+
 def keep_one(docs: DataFrame, kept: DataFrame, digest: Column, key: str = "__lectern_digest") -> DataFrame:
     """The rows of ``docs`` named by (doc_id, digest, rows) in ``kept``; of rows repeated under one doc_id and digest, one.
 

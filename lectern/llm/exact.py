@@ -9,7 +9,7 @@ Texts are equal when identical after each run of blanks became one space; digest
 are SHA-256 of that text. Rows: a null text counts as empty; a null doc_id never
 wins over another and, alone in its group, is itself the one that stays; of rows
 repeated under one doc_id and text exactly one stays; an empty history or table
-gives empty results; other columns are not read.
+gives empty results; other columns are not read; a very long text is only hashed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, keep_one, plain, schema, ship, text_column
+from .common import BLANKS, cut, join_sized, keep_one, plain, schema, ship, text_column
 from .vec import U64, mix
 
 #: Digests a bucket has on average; a bucket is what one task holds.
@@ -154,7 +154,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = cut(digests(docs))
     each = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
-    full = each.join(resolve(rows), "digest")
+    full = join_sized(each, cut(resolve(rows)), ["digest"], "group_size")
     numbered = full.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return numbered.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -164,5 +164,5 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows = cut(digests(docs))
     each = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
-    stay = each.join(resolve(rows), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stay = join_sized(each, cut(resolve(rows)), ["digest"], "group_size").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return keep_one(docs, cut(stay.select("doc_id", "digest", "rows")), digest())

@@ -3,9 +3,11 @@
 Every distinct shingle of WORDS words throws darts into its region (its weight
 wide, rank high), by a Poisson process that depends on the shingle alone; a text
 keeps, for each of K coordinates, the dart of lowest rank. Two texts agree in a
-coordinate with the probability of their (weighted) Jaccard similarity, and a
-text costs its shingles plus about K ln K darts. Bands of ROWS coordinates are
-joined; pairs that meet are checked exactly on their shingle sets.
+coordinate with the probability of their weighted Jaccard similarity, and a text
+costs its shingles plus about K ln K darts. Bands of ROWS coordinates are joined;
+pairs that meet are checked exactly on their sets. Weights are 1, so that similarity
+is that of shingle sets; with ``weighted`` they are the times that a text has each
+shingle, and sets are written as plain ones of (shingle, how often before).
 
 Within a band's bucket no pairs are listed. All members are compared with
 one pivot (the member whose buckets are fullest). Members similar to the pivot
@@ -24,20 +26,23 @@ missed by all bands with probability (1 - 0.8**ROWS)**BANDS, about 1 in 10,000.
 
 Rows: a null text counts as empty; texts without words form one class; a text
 of fewer than WORDS words is one shingle; a null doc_id is returned with a null
-class and is linked to nothing; of repeated rows one stays; other columns are not
-read.
+class and is linked to nothing; of rows repeated under one doc_id and text one
+stays, different texts under one doc_id are judged apart; other columns are not
+read. A very long text is walked in slices; its shingles are held at once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, keep_one, plain, texts_of
+from .common import arrow_map, cut, join_sized, keep_one, plain, texts_of
 from .vec import U64, mix, mix_int, windows, words
 
 WORDS = 5
@@ -46,16 +51,16 @@ BANDS, ROWS = 40, 7
 K = BANDS * ROWS
 #: Darts thrown at first, a coordinate; those who lack a coordinate throw on.
 DARTS = math.log(K) + 4
-#: Slots of the filter that spares documents without candidates the second pass; its size is fixed (4 MB).
-FILTER = 1 << 25
+#: Slots of the filter that spares documents without candidates the second pass: FILTER_EACH for each candidate, 32 MB of bits at most.
+FILTER_EACH, FILTER_MOST = 16, 1 << 28
 #: Pairs of one pivot that go to one task together.
 SALT = 256
 #: A dealt bucket of no more members is closed by comparing those that can be similar; a larger one gets a pivot.
 SMALL = 1024
 
 
-def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, and where those of each begin."""
+def shingles(texts: list[str], weighted: bool = False, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, the weight of each, and where those of each begin."""
     h, off = words(texts)
     g, first = windows(h, off, n)
     doc = np.searchsorted(off, first, "right") - 1
@@ -73,10 +78,21 @@ def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     g, doc = g[order], doc[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    g, doc = g[new], doc[new]
+    at = np.flatnonzero(new)
     out = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.bincount(doc, minlength=len(texts)), out=out[1:])
-    return g, out
+    np.cumsum(np.bincount(doc[at], minlength=len(texts)), out=out[1:])
+    return g[at], np.diff(np.append(at, len(g))) if weighted else np.ones(len(at), np.int64), out
+
+
+def elements(g: np.ndarray, times: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted sets as plain ones: a shingle met ``t`` times gives t elements. Their overlap is that of the weights."""
+    number = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    out = np.repeat(g, times)
+    more = number > 0
+    out[more] = mix(out[more] + number[more].astype(U64) * U64(0x8CB92BA72F3D8DD7))
+    total = np.zeros(len(times) + 1, np.int64)
+    np.cumsum(times, out=total[1:])
+    return out, total[off]
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -143,37 +159,47 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key
 
 
-def _signature_maker():
-    def step(batch: pa.RecordBatch):
-        texts = texts_of(batch.column("text"))
-        g, off = shingles(texts)
-        n = np.diff(off)
-        total = np.zeros((2, len(g) + 1), U64)
-        for j, salt in enumerate((0x1234567, 0x89ABCDF)):
-            np.cumsum(mix(g + U64(salt)), out=total[j, 1:])
-        prints = (total[:, off[1:]] - total[:, off[:-1]]).astype(np.int64)
-        keys = band_keys(dart_minhash(g, np.ones(len(g)), off)).astype(np.int64)
-        flat = pa.array(np.where((n > 0)[:, None], keys, 0)[n > 0].ravel())
-        at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-        return [batch.column("doc_id"), pa.array(prints[0]), pa.array(prints[1]), pa.array(n), pa.ListArray.from_arrays(pa.array(at), flat)]
+def _prints(e: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Two fingerprints of each set."""
+    total = np.zeros((2, len(e) + 1), U64)
+    for j, salt in enumerate((0x1234567, 0x89ABCDF)):
+        np.cumsum(mix(e + U64(salt)), out=total[j, 1:])
+    return (total[:, off[1:]] - total[:, off[:-1]]).astype(np.int64)
+
+
+def text_digest(text: Column) -> Column:
+    """16 bytes that tell texts of one doc_id apart."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
-    return step
 
+def _signature(batch: pa.RecordBatch, weighted: bool) -> list[pa.Array]:
+    texts = texts_of(batch.column("text"))
+    g, times, off = shingles(texts, weighted)
+    e, e_off = elements(g, times, off)
+    n = np.diff(e_off)
+    prints = _prints(e, e_off)
+    keys = band_keys(dart_minhash(g, times.astype(np.float64), off)).astype(np.int64)
+    flat = pa.array(np.where((n > 0)[:, None], keys, 0)[n > 0].ravel())
+    at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+    digest = pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary())
+    return [batch.column("doc_id"), digest, pa.array(prints[0]), pa.array(prints[1]), pa.array(n), pa.ListArray.from_arrays(pa.array(at), flat)]
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, print1, print2, n_shingles, bands): two fingerprints of the shingle set, and a key for each band."""
-    return arrow_map(plain(docs, "doc_id", "text"), _signature_maker, "doc_id long, print1 long, print2 long, n_shingles long, bands array<long>")
 
+def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
+    """(doc_id, digest, print1, print2, n_shingles, bands): of the text, of its weighted shingle set, and a key for each band."""
+    return arrow_map(plain(docs, "doc_id", "text"), lambda: partial(_signature, weighted=weighted), "doc_id long, digest binary, print1 long, print2 long, n_shingles long, bands array<long>")
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents named in ``nodes``; others are passed over by a filter of fixed size."""
+
+def sets_of(docs: DataFrame, nodes: DataFrame, weighted: bool = False) -> DataFrame:
+    """(node, shingles) of the stored ``nodes`` (node, doc_id, print1, print2); other documents are passed over by a filter."""
     spark = docs.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)) + 1
-    parts = nodes.select(slot("node").alias("s")).selectExpr("bitmap_bucket_number(s) as b", "bitmap_bit_position(s) as p").groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    bits = np.zeros(FILTER >> 3, np.uint8)
+    slots = min(FILTER_MOST, 1 << max(15, math.ceil(math.log2(max(1, FILTER_EACH * nodes.count())))))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)) + 1
+    parts = nodes.select(slot("doc_id").alias("s")).selectExpr("bitmap_bucket_number(s) as b", "bitmap_bit_position(s) as p").groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    bits = np.zeros(slots >> 3, np.uint8)
     for r in parts:
         block = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bits[(r["b"] - 1) * len(block) : r["b"] * len(block)] = block
+        bits[(r["b"] - 1) * len(block) : r["b"] * len(block)] = block[: len(bits)]
     held = spark.sparkContext.broadcast(bits)
 
     def make():
@@ -183,21 +209,23 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             s = np.asarray(batch.column("slot"), np.int64) - 1
             named = np.flatnonzero((table[s >> 3] >> (s & 7).astype(np.uint8)) & 1)
             column = batch.column("text").take(pa.array(named))
-            g, off = shingles(texts_of(column))
-            values = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(g.astype(np.int64)))
-            return [batch.column("doc_id").take(pa.array(named)), values]
+            e, off = elements(*shingles(texts_of(column), weighted))
+            prints = _prints(e, off)
+            values = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(e.astype(np.int64)))
+            return [batch.column("doc_id").take(pa.array(named)), pa.array(prints[0]), pa.array(prints[1]), values]
 
         return step
 
     rows = plain(docs, "doc_id", "text").where("doc_id is not null").withColumn("slot", slot("doc_id"))
-    found = arrow_map(rows, make, "node long, shingles array<long>")
-    return found.join(nodes.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
+    found = arrow_map(rows, make, "doc_id long, print1 long, print2 long, shingles array<long>")
+    on = ["doc_id", "print1", "print2"]
+    return found.join(nodes.hint("shuffle_hash"), on).dropDuplicates(on).select("node", "shingles")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds common, n_node and n_pivot to distinct pairs (node, pivot). A pivot of many pairs is met in parts of SALT."""
-    per = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("per"))
-    salted = pairs.join(per, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("per") / SALT))))
+    per = cut(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("per")))
+    salted = join_sized(pairs, per, ["pivot"], "per").withColumn("part", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("per") / SALT))))
     centre = salted.select("pivot", "part").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs")), "pivot")
     mine = salted.join(sets.select("node", "shingles"), "node")
     both = mine.join(centre, ["pivot", "part"])
@@ -224,7 +252,7 @@ def _next_keys(found: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     room = (t * m - t * d) / (1 + t)
     rows = found.select("node", "pivot", "outlier", "n_pivot", d.alias("d"), m.alias("m"), need.alias("need"), room.alias("room"))
     by_pivot = rows.groupBy("pivot").agg(F.min(F.when(F.col("outlier"), F.col("need"))).alias("least"), F.greatest(F.max("room"), F.lit(0.0)).alias("most"), F.count(F.lit(1)).alias("per")).where("least is not null")
-    rows = rows.join(by_pivot, "pivot")
+    rows = join_sized(rows, cut(by_pivot), ["pivot"], "per")
     shared = F.ceil(F.greatest(F.col("need"), F.col("least")) - F.col("most") - 1e-6)
     shrunk = (F.col("room") >= F.col("least") - 1e-6) | (F.col("outlier") & (F.col("most") >= F.col("need") - 1e-6))
     part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("per") / SALT)))
@@ -250,13 +278,13 @@ def _closed(members: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, on).select(F.col("b.node").alias("node"), F.col("a.node").alias("pivot")).distinct()
 
 
-def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """(node, pivot) pairs of similar class representatives whose components are those of all similar pairs met in a band."""
     banded = reps.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(banded.join(shared, "key"))
+    shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = cut(join_sized(banded, shared, ["key"], "size"))
     rank = cut(members.groupBy("node").agg(F.sum("size").alias("weight")))
-    sets = cut(sets_of(docs, rank.select("node")))
+    sets = cut(sets_of(docs, cut(reps.select("node", "doc_id", "print1", "print2").join(rank.select("node").hint("shuffle_hash"), "node", "left_semi")), weighted))
     members = members.select("key", "size", "node", F.lit(True).alias("outlier"))
     done, met, first = [], None, True
 
@@ -277,7 +305,7 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY) -> D
         pairs = members.join(pivots, "key").where("node <> pivot").groupBy("node", "pivot").agg(F.max("size").alias("size"))
         if met is not None:
             pairs = pairs.join(met.select("node", "pivot"), ["node", "pivot"], "left_anti")
-        found = judged(pairs)
+        found = judged(cut(pairs))
         # A band's bucket of two is closed by its one comparison.
         found = (found.where("size > 2") if first else found).drop("size")
         # A pivot that meets more members deals out all it has met. Every round compares pairs not compared before, so rounds end.
@@ -315,31 +343,46 @@ def components(edges: DataFrame) -> DataFrame:
     return member.union(cur.select(F.col("v").alias("node"), F.col("v").alias("class_id")).distinct()).groupBy("node").agg(F.min("class_id").alias("class_id"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, print1, print2, class_id) of every row of ``docs``."""
-    every = cut(signatures(docs))
-    groups = cut(every.groupBy("print1", "print2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")))
-    named = groups.where("node is not null and n > 0").select("node", "print1", "print2")
-    reps = every.select(F.col("doc_id").alias("node"), "print1", "print2", "bands").join(named.hint("shuffle_hash"), ["node", "print1", "print2"], "left_semi").select("node", "bands").dropDuplicates(["node"])
-    found = components(links(docs, reps, similarity))
-    joined = groups.join(found, "node", "left").select("print1", "print2", F.coalesce("class_id", "node").alias("class_id"))
-    rows = every.select("doc_id", "print1", "print2").join(joined, ["print1", "print2"])
-    return rows.select("doc_id", "print1", "print2", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
-
+def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+    """(doc_id, digest, head, class_id) of every row of ``docs``.
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    A class is named by its smallest doc_id; heads tell classes apart, as different
+    texts under one doc_id may lead two classes.
+    """
+    every = cut(signatures(docs, weighted))
+    on = ["print1", "print2"]
+    groups = every.groupBy(*on).agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
+    # Nodes are numbered, as one doc_id may stand on different texts; the numbers hold since they are stored.
+    groups = cut(groups.withColumn("node", F.monotonically_increasing_id()))
+    named = groups.where("first_id is not null and n > 0").select("node", F.col("first_id").alias("doc_id"), *on)
+    reps = cut(every.select("doc_id", *on, "bands").join(named.hint("shuffle_hash"), ["doc_id", *on]).dropDuplicates(["doc_id", *on]))
+    linked = cut(components(links(docs, reps, similarity, weighted)).withColumnRenamed("class_id", "head").join(groups.select("node", "first_id"), "node"))
+    least = linked.groupBy("head").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    found = join_sized(linked.select("node", "head"), cut(least), ["head"], "size").select("node", "head", "class_id")
+    joined = cut(groups.join(found, "node", "left").select(*on, "rows", F.coalesce("head", "node").alias("head"), F.coalesce("class_id", "first_id").alias("class_id")))
+    rows = join_sized(every.select("doc_id", "digest", *on), joined, on, "rows")
+    return rows.select("doc_id", "digest", "head", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+
+
+def _counted(docs: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """(doc_id, digest, class_id, rows, class_size, first): what rows have in common, and whether they come first in their class."""
+    rows = cut(classes(docs, similarity, weighted).groupBy("doc_id", "digest", "head", "class_id").agg(F.count(F.lit(1)).alias("rows")))
+    known = rows.where("class_id is not null")
+    size = known.groupBy("head").agg(F.sum("rows").alias("class_size"), F.min(F.struct("doc_id", "digest")).alias("least"))
+    full = join_sized(known, cut(size), ["head"], "class_size")
+    full = full.select("doc_id", "digest", "class_id", "rows", "class_size", (F.struct("doc_id", "digest") == F.col("least")).alias("first"))
+    alone = rows.where("class_id is null").withColumns({"class_size": F.lit(1).cast("long"), "first": F.lit(True)})
+    return full.unionByName(alone.select(*full.columns))
+
+
+def dedup(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), class_size, kept."""
-    rows = cut(classes(docs, similarity).groupBy("doc_id", "class_id").agg(F.count(F.lit(1)).alias("rows")))
-    size = rows.groupBy("class_id").agg(F.sum("rows").alias("class_size"))
-    alone = rows.where("class_id is null").withColumn("class_size", F.lit(1).cast("long"))
-    full = rows.where("class_id is not null").join(size, "class_id").select(*alone.columns).unionByName(alone)
-    copy = full.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    kept = F.col("class_id").isNull() | ((F.col("doc_id") == F.col("class_id")) & (F.col("copy") == 1))
+    copy = _counted(docs, similarity, weighted).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    kept = F.col("class_id").isNull() | (F.col("first") & (F.col("copy") == 1))
     return copy.select("doc_id", "class_id", "class_size", kept.alias("kept"))
 
 
-def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def keep(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """One document of each class, with all its columns; rows with a null doc_id all stay."""
-    found = classes(docs, similarity).where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    stay = cut(found.select("doc_id", F.lit("").alias("digest"), "rows"))
-    return keep_one(docs.where("doc_id is not null"), stay, F.lit("")).unionByName(docs.where("doc_id is null"))
+    stay = cut(_counted(docs, similarity, weighted).where("class_id is not null and first").select("doc_id", "digest", "rows"))
+    return keep_one(docs.where("doc_id is not null"), stay, text_digest(F.col("text"))).unionByName(docs.where("doc_id is null"))

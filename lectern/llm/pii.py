@@ -1,19 +1,20 @@
 """Personal data by weak supervision, in SQL functions alone.
 
 Base spans (e-mail, ip, card, phone) come from fixed patterns and are always
-reported. Wider patterns propose candidates: written-out e-mail addresses, numbers
-of seven digits and more, apart from base spans and from neighbours of a known
-shape, titled names. Five labelers (shape, gazetteer, words
+reported. Wider patterns propose candidates that overlap no base span: written-out
+e-mail addresses, numbers of seven digits and more, apart from base spans and from
+neighbours of a known shape, titled names. Five labelers (shape, gazetteer, words
 before, borders, size) vote 1, 0 or -1 on each candidate. Expectation-maximisation
 over the counts of vote patterns estimates how reliable each labeler is and gives
 every pattern a probability; with these as soft labels a naive Bayes classifier of
-span features is fitted, and candidates it accepts that overlap no base span are
-added.
+span features is fitted, and the candidates it accepts are added.
 
 Positions are found by splitting a text at its matches and summing lengths, so
 they count code points. Patterns start only where a match may start and use
-possessive repeats where that cannot change a match, so long runs of digits or
-letters cost linear time and no deep recursion.
+possessive repeats where that cannot change a match; lengths are summed in blocks;
+base spans are kept from number candidates run of digits by run of digits, as every
+run lies wholly inside or outside of a match. So very long texts and texts of many
+matches cost time about in proportion and no deep recursion.
 
 Rows: a null text counts as empty; a null doc_id is carried along; repeated rows
 are scanned alike; an empty table gives no rows; other columns are not read.
@@ -48,35 +49,43 @@ _SHAPE = (
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:[3-6][0-9]|2[2-7])[0-9]{2}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}"
     rf"|{_ALONE}(?:1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}|(?!000|666|9)[0-9]{{9}}|(?:[3-6][0-9]|2[2-7])[0-9]{{11,17}}))(?![0-9]|[.-][0-9])"
 )
+#: What ends a candidate does not go on into an e-mail address.
+_NO_EMAIL = r"(?![A-Za-z0-9._%+-]*+@[A-Za-z0-9-])"
 CANDIDATES = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]++)++",
+    "email": rf"(?:\G|(?<![A-Za-z0-9._%+-]))(?<!@)[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]++)++{_NO_EMAIL}",
     "number": rf"{_SHAPE}|\(?[0-9](?:(?!(?:[\x20()][\x20().-]?|[.-][\x20(]){_SHAPE})[\x20().-]{{0,2}}[0-9])++",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?",
+    "name": rf"(?<![A-Za-z0-9_@.-])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?+{_NO_EMAIL}",
 }
-#: A text with its base spans overwritten: numbers end there, and positions stay.
-MASKED = """aggregate(base, named_struct('at', 0, 'out', cast(array() AS array<string>)),
-  (s, b) -> named_struct('at', greatest(s.at, b.end), 'out', array_append(s.out, concat(substr(t, s.at + 1, greatest(b.start - s.at, 0)), repeat('#', greatest(b.end - greatest(s.at, b.start), 0))))),
-  s -> concat(array_join(s.out, ''), substr(t, s.at + 1)))"""
 LABELERS = 5
+LEAST_DIGITS = 7
 SPAN = "struct<start:int,end:int,m:string,left:string,right:string>"
+#: Lengths that are summed one by one; sums of blocks are summed in turn.
+BLOCK = 256
 
 
 def _sql_text(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` in which ``name`` stands for ``value``, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _sums(lengths: str) -> str:
+    """SQL of the running sums of an array of int."""
+    inner = f"transform(sequence(0, cast((size(l) - 1) div {BLOCK} AS int)), k -> aggregate(slice(l, k * {BLOCK} + 1, {BLOCK}), array(0), (a, y) -> array_append(a, element_at(a, -1) + y)))"
+    before = "aggregate(w, array(0), (a, x) -> array_append(a, element_at(a, -1) + element_at(x, -1)))"
+    joined = f"flatten(transform(w, (x, k) -> transform(slice(x, 2, {BLOCK}), y -> y + o[k])))"
+    return _let(lengths, "l", _let(inner, "w", _let(before, "o", joined)))
+
+
 def spans_of(text: str, pattern: str) -> Column:
     """Array of (start, end, m, left, right) of the leftmost non-overlapping matches in a column."""
     p = _sql_text(pattern)
-    return F.expr(f"""aggregate(
-      zip_with(regexp_extract_all({text}, {p}, 0), sequence(0, size(regexp_extract_all({text}, {p}, 0))), (m, i) -> named_struct('m', m, 'i', i)),
-      named_struct('pos', 0, 'out', cast(array() AS array<{SPAN}>), 'gaps', split({text}, {p}, -1)),
-      (s, x) -> CASE WHEN x.m IS NULL THEN s ELSE named_struct(
-        'pos', s.pos + length(s.gaps[x.i]) + length(x.m),
-        'out', array_append(s.out, named_struct('start', s.pos + length(s.gaps[x.i]), 'end', s.pos + length(s.gaps[x.i]) + length(x.m), 'm', x.m,
-                                                'left', lower(right(s.gaps[x.i], {BEFORE})), 'right', left(s.gaps[x.i + 1], 4))),
-        'gaps', s.gaps) END,
-      s -> s.out)""")
+    ends = _sums("transform(v.m, (m, i) -> length(v.g[i]) + length(m))")
+    span = f"named_struct('start', e[i] - length(m), 'end', e[i], 'm', m, 'left', lower(right(v.g[i], {BEFORE})), 'right', left(v.g[i + 1], 4))"
+    return F.expr(_let(f"named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))", "v", _let(ends, "e", f"transform(v.m, (m, i) -> {span})")))
 
 
 def _digits(m: Column) -> Column:
@@ -108,6 +117,35 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+RUN = "[0-9]+"
+
+
+def _covered(text: str, kind: str) -> Column:
+    """For each run of digits of a text, whether it lies in a base span of a kind."""
+    runs = lambda x: F.size(F.regexp_extract_all(x, F.lit(RUN), F.lit(0)))
+
+    def flags(v: Column) -> Column:
+        inside = lambda i: F.array_repeat(_passes(kind, v["m"][i]), runs(v["m"][i]))
+        return F.flatten(F.transform(v["g"], lambda g, i: F.concat(F.array_repeat(F.lit(False), runs(g)), F.when(i < F.size(v["m"]), inside(i)).otherwise(F.array().cast("array<boolean>")))))
+
+    matches = F.struct(F.regexp_extract_all(text, F.lit(BASE[kind]), F.lit(0)).alias("m"), F.split(text, BASE[kind], -1).alias("g"))
+    return F.transform(F.array(matches), flags)[0]
+
+
+def _masked(text: str) -> Column:
+    """The text with '#' for every digit in a base span; ``base`` names the kinds that it has."""
+    has = lambda k: F.exists("base", lambda b: b["kind"] == k)
+    flags = [F.when(has(k), _covered(text, k)).alias(k) for k in KINDS]
+    parts = F.struct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("m"), F.split(text, RUN, -1).alias("g"), *flags)
+
+    def joined(v: Column) -> Column:
+        taken = lambda i: F.coalesce(*(F.nullif(F.get(v[k], i), F.lit(False)) for k in KINDS), F.lit(False))
+        run = lambda i: F.when(taken(i), F.repeat(F.lit("#"), F.length(v["m"][i]))).otherwise(v["m"][i])
+        return F.array_join(F.transform(v["g"], lambda g, i: F.concat(g, F.when(i < F.size(v["m"]), run(i)).otherwise(""))), "")
+
+    return F.transform(F.array(parts), joined)[0]
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
@@ -177,12 +215,11 @@ def tagged(docs: DataFrame) -> DataFrame:
         return F.transform(good, lambda c: F.struct(c["start"].alias("start"), F.lit(i).alias("rank"), c["end"].alias("end"), F.lit(kind).alias("kind")))
 
     rows = rows.withColumn("base", F.sort_array(F.concat(*(base(i, k) for i, k in enumerate(KINDS)))))
-    rows = rows.withColumn("masked", F.when(F.size("base") > 0, F.expr(MASKED)).otherwise(F.col("t")))
+    rows = rows.withColumn("masked", F.when((F.size("base") > 0) & F.col("digit"), _masked("t")).otherwise(F.col("t")))
     rows = rows.withColumn("c_number", F.when(F.col("digit"), spans_of("masked", CANDIDATES["number"])).otherwise(none))
 
     def proposed(kind: str) -> Column:
-        least = 7 if kind == "number" else 0
-        fit = F.filter(f"c_{kind}", lambda c: (F.length(_digits(c["m"])) >= least) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        fit = F.filter(f"c_{kind}", lambda c: F.length(_digits(c["m"])) >= LEAST_DIGITS) if kind == "number" else F.col(f"c_{kind}")
         return F.transform(fit, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(kind).alias("kind"), votes(kind, c).alias("votes"), features(kind, c).alias("features")))
 
     return rows.select("doc_id", "base", F.concat(*(proposed(k) for k in CANDIDATES)).alias("candidates"))

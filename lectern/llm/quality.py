@@ -7,7 +7,9 @@ feature counts by its share of the text. A score is a sparse dot product.
 
 Rows: a null or empty text has no features and scores by the intercept alone; a
 null doc_id is scored and not held out; repeated rows score alike; without labels
-every score is one half. Labels enter by doc_id only.
+every score is one half. Labels enter by doc_id only. A very long text is walked in
+slices; it has at most 2**BITS different features, and learning stops taking rows
+beyond FEATURES_HELD.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, plain, schema, texts_of
-from .rules import DIGIT, LOWER, UPPER, _traits, label_sample
+from .rules import DIGIT, LOWER, UPPER, _traits
 from .vec import BLANK, U64, code_points, mix, mix_int, offsets, per_document, slices, span_hashes
 
 BITS = 18
 #: Labelled rows learned from at most, taken in the order of a hash of doc_id.
 LABELLED = 8000
+#: Features of the rows learned from at most (rows beyond are left out), which bounds what the learning task holds at about 200 MB.
+FEATURES_HELD = 12_000_000
 EPOCHS = 6
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-5, 1e-5
@@ -120,6 +124,15 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS)
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
+def label_sample(labels: DataFrame, rows: int, keep=None) -> DataFrame:
+    """At most ``rows`` labelled (doc_id, quality), in the order of a hash; of several labels of a document the lowest."""
+    named = plain(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
+    if keep is not None:
+        named = named.where(keep)
+    named = named.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
 def _feature_maker():
     def step(batch: pa.RecordBatch):
         idx, off = grams(texts_of(batch.column("text")))
@@ -133,9 +146,12 @@ def _feature_maker():
 
 
 def _trainer(batches):
-    rows = []
+    rows, held = [], 0
     for b in batches:
         for y, i, v in zip(b.column("quality").to_pylist(), b.column("idx"), b.column("val"), strict=True):
+            held += len(i.values)
+            if held > FEATURES_HELD:
+                break
             idx = np.append(np.asarray(i.values, np.int64), 1 << BITS)
             rows.append((min(max(y, 0), 1), idx, np.append(np.asarray(v.values, np.float64), 1.0)))
     m = train(rows)

@@ -34,8 +34,7 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return rules.score(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    return rules.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

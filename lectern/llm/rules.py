@@ -1,8 +1,15 @@
 """Quality rules: counts over whole texts, and an isolation forest over them.
 
+The forest has a group of trees for each statistic and one for all together. Trees
+are grown on labelled clean rows; a node's split is drawn from its rows' range and a
+margin beyond, so that rows outside what clean ones span fall into empty leaves early.
+A group's score comes from the mean path length; its threshold from the scores of
+all labelled rows. A document goes if a group finds it anomalous.
+
 Rows: a null text counts as empty and fails the base rules; a null doc_id is
-carried along; repeated rows are judged alike; other columns are not read.
-Without usable labels every document that passes the base rules is kept.
+carried along; repeated rows are judged alike; other columns are not read; an empty
+table gives no rows. A very long text is walked in slices, its words' places are held
+at once. Without usable labels every document that passes the base rules is kept.
 """
 
 from __future__ import annotations
@@ -15,20 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, plain, texts_of
-from .vec import BLANK, U64, code_points, mix, offsets, per_document, runs, slices, span_hashes, windows
+from .common import arrow_map, cut, plain, schema, ship, texts_of
+from .vec import BLANK, SLICE, U64, batches, code_points, differ, identities, mix, offsets, paired, per_document, runs, slices, span_hashes, windows
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Least words, and the share of repeated words in per cent, of the base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Labelled rows that calibrate at most, taken in the order of a hash of doc_id.
+#: Labelled rows that trees are grown on at most, taken in the order of a hash of doc_id; thresholds see all labelled rows.
 LABELLED = 6000
-TREES, TREE_ROWS = 128, 256
-#: Share of labelled clean rows that the threshold may give up.
+#: Trees of a group, rows of a tree, levels of a tree.
+TREES, TREE_ROWS, DEPTH = 32, 256, 12
+#: How far beyond its rows' range a split may be drawn, as a share of the spread of all labelled rows.
+MARGIN = 0.2
+#: Share of labelled clean rows that all thresholds together may give up.
 CLEAN_LOSS = 0.002
-#: Share of labelled clean rows left outside the span of each statistic at most, at either end.
-SPAN = 0.001
+#: Steps from score 0 to 1 in which labelled rows' scores are counted.
+STEPS = 2048
 
 LOWER, UPPER, DIGIT, MARK = 1, 2, 4, 8
 
@@ -50,11 +60,11 @@ def _symbols() -> np.ndarray:
 
 
 class Rules:
-    """Counts of each text, by whole arrays; lines are compared as strings."""
+    """Counts of each text, by whole arrays; lines are compared as strings, words by hash and then by their characters."""
 
     def __call__(self, texts: list[str]) -> dict[str, np.ndarray]:
         n = len(texts)
-        hashes, owners = [], []
+        hashes, owners, letters, starts, ends, base = [], [], [], [], [], 0
         sums = {k: np.zeros(n, np.int64) for k in ("word_chars", "n_symbols", "letters", "upper", "digits", "marks")}
         traits, symbols = _traits(), _symbols()
         for docs, at, joined in slices(texts):
@@ -63,13 +73,18 @@ class Rules:
             start, end = runs(solid, at)
             hashes.append(span_hashes(codes, start, end))
             owners.append(docs[np.searchsorted(at, start, "right") - 1])
+            letters.append(codes)
+            starts.append(base + start)
+            ends.append(base + end)
+            base += len(codes)
             kind = traits[codes]
             for name, flag in (("word_chars", solid), ("n_symbols", symbols[codes]), ("letters", (kind & (LOWER | UPPER)) > 0), ("upper", kind == UPPER), ("digits", kind == DIGIT), ("marks", kind == MARK)):
                 np.add.at(sums[name], docs, per_document(flag, at))
         h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         doc = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         off = offsets(doc, n)
-        repeated = self.repeated(h, doc, off)
+        spans = (np.concatenate(letters), np.concatenate(starts), np.concatenate(ends)) if hashes else None
+        repeated = self.repeated(h, doc, off, spans)
         lines, dup = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for i, t in enumerate(texts):
             solid_lines = [x for x in t.split("\n") if x.strip(" \t\n\v\f\r")]
@@ -79,22 +94,38 @@ class Rules:
         return {"n_words": np.diff(off), "n_dup_lines": dup, "n_repeat_words": per_document(repeated, off), "n_lines": lines, "n_same": per_document(same, off), **sums}
 
     @staticmethod
-    def repeated(h: np.ndarray, doc: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def repeated(h: np.ndarray, doc: np.ndarray, off: np.ndarray, spans: tuple[np.ndarray, ...] | None) -> np.ndarray:
         """Whether each word lies in a window of three words that its text has twice or more."""
-        g, first = windows(h, off, 3)
         out = np.zeros(len(h), bool)
-        if len(g):
-            key = g ^ mix(doc[first].astype(U64))
+        g, first = windows(h, off, 3)
+        if not len(g):
+            return out
+        key = g ^ mix(doc[first].astype(U64))
+        order = np.argsort(key, kind="stable")
+        equal = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        if not Rules._confirmed(first[order[equal]], first[order[equal + 1]], doc, spans):
+            word = identities(*spans, h)
+            key = paired(doc[first], paired(paired(word[first], word[first + 1]), word[first + 2]))
             order = np.argsort(key, kind="stable")
-            k = key[order]
-            twin = np.zeros(len(k), bool)
-            twin[1:] = k[1:] == k[:-1]
-            twin[:-1] |= twin[1:]
-            hit = first[order[twin]]
-            for j in range(3):
-                out[hit + j] = True
+            equal = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        hit = first[order[np.concatenate([equal, equal + 1])]]
+        for j in range(3):
+            out[hit + j] = True
         return out
 
+    @staticmethod
+    def _confirmed(a: np.ndarray, b: np.ndarray, doc: np.ndarray, spans: tuple[np.ndarray, ...]) -> bool:
+        """Whether the windows that begin at words a and b are equal, pair by pair, in their characters and documents."""
+        codes, start, end = spans
+        if (doc[a] != doc[b]).any():
+            return False
+        for j in range(3):
+            for low, high in batches((end[a + j] - start[a + j]).tolist(), SLICE):
+                x, y = a[low:high] + j, b[low:high] + j
+                if differ(codes, start[x], end[x], codes, start[y], end[y] - start[y]).any():
+                    return False
+        return True
+
 
 FEATURES = ["symbols", "dup_lines", "repeats", "word_length", "upper", "marks", "digits", "same", "line_words"]
 
@@ -125,9 +156,9 @@ def base_failed(words, repeated):
 class IsolationForest:
     """Random splits over samples of rows; rows that few splits set apart are anomalous. Trees are flat arrays."""
 
-    def __init__(self, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7):
-        self.trees, self.rows, self.seed = trees, rows, seed
-        self.parts: list[tuple[np.ndarray, ...]] = []
+    def __init__(self, views: list[list[int]], trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7):
+        self.views, self.trees, self.rows, self.seed = views, trees, rows, seed
+        self.groups: list[list[tuple[np.ndarray, ...]]] = [[] for _ in views]
         self.norm = 1.0
 
     @staticmethod
@@ -135,143 +166,165 @@ class IsolationForest:
         """Mean path length of n rows that are not split further."""
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
-    def fit(self, x: np.ndarray) -> IsolationForest:
-        rng = np.random.default_rng(self.seed)
-        m = min(self.rows, len(x))
-        self.norm = max(self._rest(m), 1e-9)
-        depth = int(np.ceil(np.log2(max(m, 2))))
-        for _ in range(self.trees if m else 0):
-            sample = x[rng.choice(len(x), m, replace=False)]
-            feature, cut, left, right, length = [], [], [], [], []
-            todo = [(np.arange(m), 0, -1, False)]
-            while todo:
-                rows, level, parent, is_right = todo.pop()
-                me = len(feature)
-                if parent >= 0:
-                    (right if is_right else left)[parent] = me
-                part = sample[rows]
-                low, high = part.min(0), part.max(0)
-                open_ = np.flatnonzero(high > low)
-                feature.append(0)
-                cut.append(np.inf)
-                left.append(me)
-                right.append(me)
-                length.append(level + self._rest(len(rows)))
-                if level < depth and len(open_):
-                    f = int(rng.choice(open_))
-                    c = rng.uniform(low[f], high[f])
-                    feature[me], cut[me] = f, c
-                    below = part[:, f] < c
-                    todo += [(rows[below], level + 1, me, False), (rows[~below], level + 1, me, True)]
-            self.parts.append((np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(length), depth + 1))
+    def _tree(self, x: np.ndarray, view: list[int], margin: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+        sample = x[rng.choice(len(x), min(self.rows, len(x)), replace=False)]
+        feature, cut_at, left, right, length = [], [], [], [], []
+        todo = [(np.arange(len(sample)), 0, -1, False)]
+        while todo:
+            rows, level, parent, is_right = todo.pop()
+            me = len(feature)
+            if parent >= 0:
+                (right if is_right else left)[parent] = me
+            feature.append(0)
+            cut_at.append(np.inf)
+            left.append(me)
+            right.append(me)
+            length.append(level + self._rest(len(rows)))
+            if level == DEPTH or not len(rows):
+                continue
+            part = sample[rows]
+            low, high = part.min(0) - margin, part.max(0) + margin
+            open_ = [f for f in view if high[f] > low[f]]
+            if open_:
+                f = open_[int(rng.integers(len(open_)))]
+                feature[me], cut_at[me] = f, rng.uniform(low[f], high[f])
+                below = part[:, f] < cut_at[me]
+                todo += [(rows[below], level + 1, me, False), (rows[~below], level + 1, me, True)]
+        return np.array(feature, np.int8), np.array(cut_at), np.array(left, np.int16), np.array(right, np.int16), np.array(length, np.float32)
+
+    def fit(self, x: np.ndarray, spread: np.ndarray) -> IsolationForest:
+        """Grows every group on the rows of ``x``; ``spread`` is the width of each statistic among all rows seen."""
+        if len(x):
+            rng = np.random.default_rng(self.seed)
+            self.norm = max(self._rest(min(self.rows, len(x))), 1e-9)
+            self.groups = [[self._tree(x, view, MARGIN * spread, rng) for _ in range(self.trees)] for view in self.views]
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1; higher is more anomalous."""
-        if not self.parts:
-            return np.zeros(len(x))
-        total = np.zeros(len(x))
+        """(rows, groups), 0 to 1; higher is more anomalous."""
+        out = np.zeros((len(x), len(self.views)))
         every = np.arange(len(x))
-        for feature, cut, left, right, length, depth in self.parts:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(depth):
-                at = np.where(x[every, feature[at]] < cut[at], left[at], right[at])
-            total += length[at]
-        return 2.0 ** (-total / len(self.parts) / self.norm)
+        for g, trees in enumerate(self.groups):
+            total = np.zeros(len(x))
+            for feature, cut_at, left, right, length in trees:
+                at = np.zeros(len(x), np.int16)
+                for _ in range(DEPTH):
+                    at = np.where(x[every, feature[at]] < cut_at[at], left[at], right[at])
+                total += length[at]
+            if trees:
+                out[:, g] = 2.0 ** (-total / len(trees) / self.norm)
+        return out
 
 
-class Verdict:
-    """What clean documents span, a forest over what lies beyond, and the score from which documents are rejected."""
+#: Each statistic by itself, and all of them.
+VIEWS = [[f] for f in range(len(FEATURES))] + [list(range(len(FEATURES)))]
+
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, forest: IsolationForest, threshold: float):
-        self.low, self.high, self.forest, self.threshold = low, high, forest, threshold
+class Verdict:
+    """A forest and the score of each of its groups from which documents are rejected."""
 
-    def excess(self, x: np.ndarray) -> np.ndarray:
-        """How far each statistic lies outside the span of clean documents; ordinary documents are all zeros."""
-        return np.maximum(x - self.high, 0) + np.minimum(x - self.low, 0)
+    def __init__(self, forest: IsolationForest, thresholds: np.ndarray):
+        self.forest, self.thresholds = forest, thresholds
 
     def __call__(self, counts: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(score, base_failed, kept)."""
-        score = self.forest.score(self.excess(features(counts)))
+        """(score of the group nearest to its threshold or furthest beyond it, base_failed, kept)."""
+        scores = self.forest.score(features(counts))
+        beyond = scores - self.thresholds
+        nearest = beyond.argmax(axis=1) if len(scores) else np.zeros(0, np.int64)
         failed = base_failed(counts["n_words"], counts["n_repeat_words"])
-        return score, failed, ~failed & (score < self.threshold)
+        return scores[np.arange(len(scores)), nearest], failed, ~failed & (beyond < 0).all(axis=1)
 
 
-def calibrate(x: np.ndarray, clean: np.ndarray, loss: float = CLEAN_LOSS) -> Verdict:
-    """A verdict from the statistics of labelled rows that passed the base rules.
+def thresholds(clean: np.ndarray, junk: np.ndarray, loss: float = CLEAN_LOSS) -> np.ndarray:
+    """A threshold for each group, from counts (groups, STEPS) of labelled rows by score.
 
-    The forest is grown on all of them; the threshold lies half-way between the
-    highest score that clean rows may have (all but ``loss`` of them) and the
-    next rejected row's, so that clean documents a little beyond those seen stay.
-    """
-    none = np.zeros(x.shape[1])
-    if clean.sum() < 2 or clean.all():
-        return Verdict(none, none, IsolationForest(), np.inf)
-    low = np.quantile(x[clean], SPAN, axis=0, method="lower")
-    high = np.quantile(x[clean], 1 - SPAN, axis=0, method="higher")
-    verdict = Verdict(low, high, IsolationForest(), np.inf)
-    far = verdict.excess(x)
-    verdict.forest.fit(far)
-    scores = verdict.forest.score(far)
-    good = np.sort(scores[clean])
-    highest = good[int(np.ceil((1 - loss) * len(good))) - 1]
-    above = scores[~clean & (scores > highest)]
-    if len(above):
-        verdict.threshold = float((highest + above.min()) / 2)
-    return verdict
-
-
-def label_sample(labels: DataFrame, rows: int, keep=None) -> DataFrame:
-    """At most ``rows`` labelled (doc_id, quality), in the order of a hash; of several labels of a document the lowest."""
-    named = plain(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
-    if keep is not None:
-        named = named.where(keep)
-    named = named.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-
-def _count_maker():
-    rules = Rules()
-    names = [*COUNTS, "n_lines", "n_same", "letters", "upper", "digits", "marks"]
-
-    def step(batch: pa.RecordBatch):
-        c = rules(texts_of(batch.column("text")))
-        return [batch.column("doc_id"), batch.column("quality"), *(pa.array(c[k]) for k in names)]
-
-    return step
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED, loss: float = CLEAN_LOSS) -> Verdict:
-    """A verdict calibrated on labelled documents; it gives up at most ``loss`` of the clean ones among them.
-
-    Only the documents of the bounded label sample are counted here; their counts,
-    a few numbers a row, come to the driver.
+    It lies half-way between the highest score that clean rows may have (all but the
+    group's share of ``loss``) and the next higher one of junk, so that clean
+    documents a little beyond those seen stay; a group that tells no junk apart rejects nothing.
     """
-    sample = label_sample(labels, rows)
-    names = [*COUNTS, "n_lines", "n_same", "letters", "upper", "digits", "marks"]
-    named = plain(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = arrow_map(named.select("doc_id", "quality", "text"), _count_maker, "doc_id long, quality int, " + ", ".join(f"{k} long" for k in names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows).collect()
-    c = {k: np.array([r[k] for r in got], np.int64) for k in names}
-    y = np.array([r["quality"] for r in got], np.int64)
-    passed = ~base_failed(c["n_words"], c["n_repeat_words"])
-    return calibrate(features(c)[passed], y[passed] == 1, loss)
+    out = np.full(len(clean), np.inf)
+    for g, (good, bad) in enumerate(zip(clean, junk, strict=True)):
+        if good.sum() < 2:
+            continue
+        highest = int(np.searchsorted(np.cumsum(good), np.ceil((1 - loss / len(clean)) * good.sum())))
+        above = np.flatnonzero(bad[highest + 1 :])
+        if len(above):
+            out[g] = (highest + 1 + (above[0] + 1) / 2) / STEPS
+    return out
+
+
+STATS = [*COUNTS, "n_lines", "n_same", "letters", "upper", "digits", "marks"]
+
+
+def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {k: np.asarray(batch.column(k), np.int64) for k in STATS}
 
 
-def score(docs: DataFrame, verdict: Verdict) -> DataFrame:
-    """(doc_id, counts, base_failed, anomaly, kept) of every document, in one pass and without a shuffle."""
+def stats(docs: DataFrame) -> DataFrame:
+    """(doc_id and the counts STATS) of every document, in one pass over the texts."""
 
     def make():
         rules = Rules()
 
         def step(batch: pa.RecordBatch):
             c = rules(texts_of(batch.column("text")))
-            s, failed, kept = verdict(c)
-            return [batch.column("doc_id"), *(pa.array(c[k]) for k in COUNTS), pa.array(failed), pa.array(kept), pa.array(s)]
+            return [batch.column("doc_id"), *(pa.array(c[k]) for k in STATS)]
 
         return step
 
-    out = "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, anomaly double"
-    return arrow_map(plain(docs, "doc_id", "text"), make, out)
+    return arrow_map(plain(docs, "doc_id", "text"), make, "doc_id long, " + ", ".join(f"{k} long" for k in STATS))
+
+
+def fit(counted: DataFrame, labels: DataFrame, rows: int = LABELLED, loss: float = CLEAN_LOSS) -> Verdict:
+    """A verdict from a stored table of ``stats`` and labels; it gives up at most ``loss`` of the labelled clean rows.
+
+    Trees are grown on a bounded sample; thresholds come from how many of all
+    labelled rows have each score, a table of bounded size.
+    """
+    named = plain(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    passed = counted.where(f"n_words >= {LEAST_WORDS} and 100 * n_repeat_words <= {MOST_REPEATED} * n_words")
+    marked = cut(passed.join(named, "doc_id"))
+    got = marked.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(rows).collect()
+    x = features({k: np.array([r[k] for r in got], np.int64) for k in STATS})
+    clean = np.array([r["quality"] == 1 for r in got], bool)
+    forest = IsolationForest(VIEWS)
+    if clean.sum() < 2 or clean.all():
+        return Verdict(forest, np.full(len(VIEWS), np.inf))
+    forest.fit(x[clean], np.quantile(x, 0.999, axis=0) - np.quantile(x, 0.001, axis=0))
+
+    def count(batches):
+        for b in batches:
+            at = np.minimum((forest.score(features(_arrays(b))) * STEPS).astype(np.int64), STEPS - 1)
+            good = np.asarray(b.column("quality"), np.int64) == 1
+            key, n = np.unique((np.arange(len(VIEWS)) * STEPS + at) * 2 + good[:, None], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    ship(marked.sparkSession)
+    table = np.zeros(len(VIEWS) * STEPS * 2, np.int64)
+    for r in marked.mapInArrow(count, schema("key long, n long")).groupBy("key").agg(F.sum("n").alias("n")).collect():
+        table[r["key"]] = r["n"]
+    table = table.reshape(len(VIEWS), STEPS, 2)
+    return Verdict(forest, thresholds(table[:, :, 1], table[:, :, 0], loss))
+
+
+def judge(counted: DataFrame, verdict: Verdict) -> DataFrame:
+    """(doc_id, counts, base_failed, kept, anomaly) of every row of ``stats``, without a shuffle."""
+
+    def run(batches):
+        for b in batches:
+            s, failed, kept = verdict(_arrays(b))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(k) for k in COUNTS), pa.array(failed), pa.array(kept), pa.array(s)], names=names)
+
+    out = schema("doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, anomaly double")
+    names = out.fieldNames()
+    ship(counted.sparkSession)
+    return counted.mapInArrow(run, out)
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``judge`` of all documents by a verdict fitted to the labels; texts are read once."""
+    counted = cut(stats(docs))
+    return judge(counted, fit(counted, labels))
 
 
 def keep(docs: DataFrame, verdict: Verdict) -> DataFrame:

@@ -8,7 +8,8 @@ a weak secret and an identifier or endpoint whose intervals meet are reported as
 linked credential. Base spans are always reported.
 
 Rows: a null text counts as empty; a null doc_id is carried along; repeated rows
-are scanned alike; other columns are not read. Spans are code points, end exclusive.
+are scanned alike; an empty table gives no rows; other columns are not read. Very
+long texts cost time in proportion. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, plain, texts_of
 
-ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED, LEAST_ACCESS = 6, 20
@@ -40,10 +42,10 @@ _WEAK = r"(?:(?:db|user|root|admin)?(?:pass(?:phrase|code)?|pwd)|(?:(?:secret|ac
 _SUFFIX = r"[0-9]{{0,4}}(?:(?:[_-]|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?!(?:{})(?-i:(?![a-z0-9])))(?-i:[A-Z]?[a-z0-9]++|[A-Z0-9]++)){{0,4}}+"
 _NOT_WEAK = "ids?|names?|paths?|files?|dir|ur[il]|host|port|type|size|len|length|count|alg|algorithm|format|version|method|mode"
 _NOT_IDENTIFIER = f"{_SECRET}s?|{_WEAK}|agent|type|size|count|mode|role|group"
-_SET = r"""["']?[ \t]*[:=][ \t]*["']?"""
+_SET = r"""["']?+[ \t]*+[:=][ \t]*+["']?+"""
 IDENTIFIER = re.compile(rf"""{_BORDER}(?:user(?:name|id)?|login|account(?:name|id)?|client[_-]?id|access[_-]?(?:key[_-]?)?id|key[_-]?id){_SUFFIX.format(_NOT_IDENTIFIER)}{_SET}([A-Za-z0-9@._-]{{3,}})""", re.I | re.A)
 ENDPOINT = re.compile(rf"""\b[a-z][a-z0-9+]{{1,12}}://[^\s"'<>]{{4,}}|{_BORDER}(?:host(?:name)?|server|endpoint|url)[0-9]{{0,4}}{_SET}[A-Za-z0-9.-]{{4,}}(?::[0-9]{{2,5}})?""", re.I | re.A)
-WEAK = re.compile(rf"""{_BORDER}(?:(?:{_WEAK}|{_SECRET}){_SUFFIX.format(_NOT_WEAK)}{_SET}|{_WEAK}["']?[ \t]+["']?)([A-Za-z0-9+/_=-]{{12,}})""", re.I | re.A)
+WEAK = re.compile(rf"""{_BORDER}(?:(?:{_WEAK}|{_SECRET}){_SUFFIX.format(_NOT_WEAK)}{_SET}|{_WEAK}["']?+[ \t]++["']?+)([A-Za-z0-9+/_=-]{{12,}})""", re.I | re.A)
 _SCOPE = re.compile(r"\n[ \t\r]*\n")
 #: One of these stands in every text with a base span; cheap to look for.
 _HINT = re.compile(r"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{24}", re.I | re.A)
@@ -74,27 +76,25 @@ def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     weak = [("weak_secret", m.start(1), m.end(1)) for m in WEAK.finditer(text) if m.end(1) - m.start(1) >= LEAST_WEAK and entropy(m[1]) >= ENTROPY]
     if not weak:
         return []
-    others = [("identifier", m.start(1), m.end(1)) for m in IDENTIFIER.finditer(text)]
-    others += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    others += [("identifier", a, b) for k, a, b in base if k == "access"]
-    if not others:
+    parts = [[("identifier", m.start(1), m.end(1)) for m in IDENTIFIER.finditer(text)], [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)], [("identifier", a, b) for k, a, b in base if k == "access"]]
+    if not any(parts):
         return []
     scopes = [m.end() for m in _SCOPE.finditer(text)]
     scope = lambda at: bisect_right(scopes, at)
-    others.sort(key=lambda x: x[1])
-    starts = [x[1] for x in others]
-    widest = max(b - a for _, a, b in others)
+    # Parts of one kind do not overlap, so their starts and ends are both in order.
+    edges = [([x[1] for x in kind], [x[2] for x in kind], kind) for kind in parts]
     strong = sorted((a, b) for _, a, b in base)
+    reached = [0, *accumulate((b for _, b in strong), max)]  # how far the first i base spans reach
+    known = {(a, b) for k, a, b in base if k == "access"}
     found = set()
     for w in weak:
-        i = bisect_left(strong, (w[2], 0))
-        if any(a < w[2] and w[1] < b for a, b in strong[max(0, i - 3) : i]):
+        if reached[bisect_left(strong, (w[2], 0))] > w[1]:
             continue  # already a base span
-        lo, hi = bisect_left(starts, w[1] - REACH - widest), bisect_right(starts, w[2] + REACH)
-        partners = [o for o in others[lo:hi] if o[2] >= w[1] - REACH and scope(o[1]) == scope(w[1]) and (o[2] <= w[1] or o[1] >= w[2])]
+        near = [o for starts, ends, kind in edges for o in kind[bisect_left(ends, w[1] - REACH) : bisect_right(starts, w[2] + REACH)]]
+        partners = [o for o in near if scope(o[1]) == scope(w[1]) and (o[2] <= w[1] or o[1] >= w[2])]
         if partners:
             found.add(w)
-            found.update(o for o in partners if o[0] != "identifier" or ("access", o[1], o[2]) not in base)
+            found.update(o for o in partners if o[0] != "identifier" or (o[1], o[2]) not in known)
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 

@@ -5,8 +5,10 @@ Texts are handled as arrays of code points. A batch is walked in slices of about
 blank, which is a word boundary for every tokenisation used here, so memory per
 slice is bounded by ``SLICE`` plus the longest unbroken word.
 
-Equality of words is decided on 64-bit polynomial hashes (odd base modulo 2**64,
-finalised by a multiply-xorshift mix).
+Words are hashed by two polynomials over the field of 2**31 - 1 elements, mixed
+to 64 bits. Two different words of n characters agree with probability (n / 2**31)
+squared at most; where that would change a result, callers compare the characters
+as well (``differ``).
 """
 
 from __future__ import annotations
@@ -17,28 +19,42 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 SLICE = 1 << 18
-BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
 U64 = np.uint64
+PRIME = (1 << 31) - 1
+BASES = 1_292_913_986, 1_850_600_128
 #: A place where a text may be cut: before a blank that follows a non-space.
 _CUT = re.compile(r"(?<=\S)[ \t\n]")
 
-_power = np.ones(1, U64)
-_root = np.ones(1, U64)
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 #: The blanks of the contracts: space and \x09-\x0D.
 BLANK = np.zeros(0x110000, bool)
 BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def _tables(n: int) -> None:
-    global _power, _root
-    if len(_power) <= n:
-        size = max(n + 1, SLICE + 4096)
-        p = np.full(size, U64(BASE), U64)
-        q = np.full(size, U64(_INVERSE), U64)
-        p[0] = q[0] = 1
-        _power, _root = np.cumprod(p, dtype=U64), np.cumprod(q, dtype=U64)
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x below 2**62 modulo PRIME."""
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate([out, _folded(out * U64(pow(base, len(out), PRIME)))])
+    return out
+
+
+def _powers_for(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse, for spans in ``n`` characters; those of a longer text are not kept."""
+    global _tables
+    if _tables and len(_tables[0][0]) > n:
+        return _tables
+    found = [(_powers(b, max(n + 1, SLICE + 4096)), _powers(pow(b, -1, PRIME), max(n + 1, SLICE + 4096))) for b in BASES]
+    if n <= 2 * SLICE:
+        _tables = found
+    return found
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,11 +77,42 @@ def code_points(text: str) -> np.ndarray:
 
 def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The hash of each span of ``codes``; equal spans have equal hashes wherever they stand."""
-    _tables(len(codes))
+    held = (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
+    values = codes.astype(U64) + U64(1)
     total = np.zeros(len(codes) + 1, U64)
-    np.cumsum((codes.astype(U64) + U64(1)) * _power[: len(codes)], out=total[1:])
-    h = (total[end] - total[start]) * _root[start]
-    return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    for shift, (power, root) in zip((33, 2), _powers_for(len(codes)), strict=True):
+        x = values * power[: len(codes)]
+        np.cumsum((x & U64(PRIME)) + (x >> U64(31)), out=total[1:])  # terms below 2**32, so sums of 2**32 characters fit
+        held ^= _folded(_folded(total[end] - total[start]) * root[start]) << U64(shift)
+    return mix(held)
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin[i] .. begin[i] + size[i] - 1 of all i, one after another."""
+    at = np.cumsum(size) - size
+    return np.repeat(begin - at, size) + np.arange(int(size.sum()))
+
+
+def differ(codes: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each span of ``codes`` differs from the ``size`` characters of ``other`` that begin at ``begin``."""
+    out = end - start != size
+    same = np.flatnonzero(~out)
+    n = size[same].astype(np.int64)
+    unequal = codes[spread(start[same], n)] != other[spread(begin[same], n)]
+    if unequal.any():
+        out[same[np.repeat(np.arange(len(n)), n)[unequal]]] = True
+    return out
+
+
+def identities(codes: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Numbers of spans with hashes ``h`` that are equal exactly where the spans' characters are; characters are compared about SLICE at a time."""
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    known: dict[bytes, int] = {}
+    for a, b in batches((end - start).tolist(), SLICE):
+        one = first[number[a:b]]
+        for i in (a + np.flatnonzero(differ(codes, start[a:b], end[a:b], codes, start[one], end[one] - start[one]))).tolist():
+            number[i] = len(first) + known.setdefault(codes[start[i] : end[i]].tobytes(), len(known))
+    return number
 
 
 def slices(texts: list[str], limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
@@ -156,6 +203,11 @@ def windows(h: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix(g[first]), first
 
 
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs that are equal exactly where both parts are."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
 def batches(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes come to about ``limit`` together; a larger row stands alone."""
     first, held = 0, 0

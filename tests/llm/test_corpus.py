@@ -9,10 +9,11 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lectern.llm import exact, near, packing, queries, rules, secrets, shards
+from lectern.llm import common, exact, near, packing, queries, rules, secrets, shards
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,6 +121,30 @@ def test_near_odd(odd, empty):
     assert near.dedup(empty).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    """Different texts under one doc_id are judged apart; of one class one row stays."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a), (1, b), (2, " ".join(f"c{i}" for i in range(40))), (3, b + " end"), (1, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in near.dedup(df).collect()) == [(1, 1, 2, False), (1, 1, 2, True), (1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False)]
+    assert sorted((r.doc_id, r.text) for r in near.keep(df).collect()) == sorted([(1, a), (1, b), (2, " ".join(f"c{i}" for i in range(40)))])
+
+
+def test_weights_count_repeats(spark):
+    """With weights two texts that share a line many times are similar; as sets they are not."""
+    line = " ".join(f"r{i}" for i in range(10)) + " "
+    df = spark.createDataFrame([(i, " ".join(f"t{i}_{j}" for j in range(30)) + " " + line * 40) for i in range(2)], "doc_id long, text string")
+    assert sorted(r.class_id for r in near.dedup(df).collect()) == [0, 1]
+    assert sorted(r.class_id for r in near.dedup(df, weighted=True).collect()) == [0, 0]
+
+
+def test_hot_keys(spark):
+    """A key with most rows is joined without a shuffle, others as ever; each row once."""
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.col("k") + 1)
+    got = common.join_sized(rows, common.cut(table), ["k"], "n").collect()
+    assert sorted(r.v for r in got) == list(range(3000)) and all(r.name == r.k + 1 for r in got)
+
+
 def test_dart_signatures():
     rng = np.random.default_rng(2)
     pool = near.mix(np.arange(1, 500, dtype=np.uint64))
@@ -211,8 +236,7 @@ def test_shards(spark, odd, empty):
 
 def test_pipeline_matches_brute_force(spark, docs, labels):
     out = [r.asDict() for r in corpus_pipeline.run(spark, SF).collect()]
-    verdict = rules.fit(docs, labels)
-    kept = {r.doc_id for r in rules.score(docs, verdict).where("kept").collect()}
+    kept = {r.doc_id for r in rules.score(docs, labels).where("kept").collect()}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
     first = {}
     for i in sorted(texts):
