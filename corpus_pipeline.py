@@ -16,7 +16,7 @@ from lectern.llm.common import cut, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that the forest finds anomalous go."""
-    return rules.keep(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    return rules.keep(docs, rules.fit(cut(rules.stats(docs)), table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
