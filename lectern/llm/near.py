@@ -296,7 +296,7 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, weig
 
     while True:
         if not first:
-            judged(_closed(members.where(F.col("size") <= SMALL), similarity))
+            judged(cut(_closed(members.where(F.col("size") <= SMALL), similarity)))
             members = members.where(F.col("size") > SMALL)
             if members.isEmpty():
                 break
