@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, entities, references, similarity_tokens
+from .text import col, entities, normalize_for_similarity, references, similarity_tokens
 
 
 def lcs(a: str, b: str) -> int:
@@ -98,22 +98,42 @@ def token_recall(left: Column | str, right: Column | str) -> Column:
     return common / F.greatest(F.size(a), F.lit(1))
 
 
+def token_bag(c: Column | str) -> Column:
+    """The tokens of a text with a number for each repeat, so that bags meet as sets. Meant to be worked out once a text."""
+    ordered = F.sort_array(similarity_tokens(c))
+    return F.transform(F.array(ordered), lambda t: F.transform(t, lambda x, i: F.concat_ws("\u0001", x, (i + 1 - F.array_position(t, x)).cast("string"))))[0]
+
+
+def bag_recall(left: Column, right: Column) -> Column:
+    """``token_recall`` of bags."""
+    return F.size(F.array_intersect(left, right)) / F.greatest(F.size(left), F.lit(1))
+
+
+def entity_set(text: Column | str, translated: Column | str | None = None) -> Column:
+    both = col(text) if translated is None else F.concat_ws(" ", col(text), col(translated))
+    return F.array_union(entities(both), references(text))
+
+
+def set_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity; one half where both sides are empty."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, 0.5).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def semantic_of(norm_a: Column, norm_b: Column, recall: Column, token_set, sequence) -> Column:
+    """Half token set, a quarter sequence, a quarter token recall of normalised texts; 0 where a side is empty. Takes the two UDFs."""
+    score = 0.5 * token_set(norm_a, norm_b) / 100 + 0.25 * sequence(norm_a, norm_b) + 0.25 * recall
+    return F.when((norm_a == "") | (norm_b == ""), 0.0).otherwise(F.least(F.lit(1.0), score))
+
+
 def semantic_similarity(left: Column | str, right: Column | str, token_set, sequence) -> Column:
     """Half token set, a quarter sequence, a quarter token recall; 0 where a side is empty. Takes the two UDFs."""
-    from .text import normalize_for_similarity
-
-    a, b = normalize_for_similarity(left), normalize_for_similarity(right)
-    score = 0.5 * token_set(a, b) / 100 + 0.25 * sequence(a, b) + 0.25 * token_recall(left, right)
-    return F.when((a == "") | (b == ""), 0.0).otherwise(F.least(F.lit(1.0), score))
+    return semantic_of(normalize_for_similarity(left), normalize_for_similarity(right), token_recall(left, right), token_set, sequence)
 
 
 def entity_score(source: Column | str, translated: Column | str, target: Column | str) -> Column:
     """Jaccard similarity of the entities of both sides; one half where there are none."""
-    both = F.concat_ws(" ", col(source), col(translated))
-    a = F.array_union(entities(both), references(source))
-    b = F.array_union(entities(target), references(target))
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.5).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return set_similarity(entity_set(source, translated), entity_set(target))
 
 
 def page_score(a: Column | str, b: Column | str) -> Column:

@@ -45,10 +45,9 @@ def section_coverage(rows: DataFrame, section: str = "section") -> DataFrame:
 
 
 def topic_score(section: Column, text: Column, clause: Column, keywords: Column) -> Column:
-    """5 for a section that is the clause or below it, 2 for each keyword in the text."""
-    hay = F.lower(squeeze(text))
+    """5 for a section that is the clause or below it, 2 for each keyword in the text, which is squeezed and in lower case."""
     at = F.when((section == clause) | section.startswith(F.concat(clause, F.lit("."))), 5).otherwise(0)
-    return F.coalesce(at, F.lit(0)) + F.aggregate(keywords, F.lit(0), lambda s, k: s + F.when(hay.contains(F.lower(k)), 2).otherwise(0))
+    return F.coalesce(at, F.lit(0)) + F.aggregate(keywords, F.lit(0), lambda s, k: s + F.when(text.contains(F.lower(k)), 2).otherwise(0))
 
 
 def topic_rows(spark: SparkSession, topics) -> DataFrame:
@@ -62,9 +61,10 @@ def topic_matches(rows: DataFrame, topics, most: int = MATCHES) -> DataFrame:
     group of rows hands on its best ``most``, so a common topic never gathers in one task.
     """
     listed = F.array(*(F.struct(F.lit(c).alias("clause"), F.array(*map(F.lit, k)).alias("keywords")) for c, _, k in topics))
+    scores = lambda hay: F.transform(listed, lambda t: F.struct(t["clause"].alias("clause"), topic_score(F.col("section"), hay, t["clause"], t["keywords"]).alias("score")))
+    met = F.transform(F.array(F.lower(squeeze("text"))), lambda hay: F.filter(scores(hay), lambda x: x["score"] > 0))[0]
     scored = rows.select(
-        "doc_id", "ord", "page", "section",
-        F.explode(F.filter(F.transform(listed, lambda t: F.struct(t["clause"].alias("clause"), topic_score(F.col("section"), F.col("text"), t["clause"], t["keywords"]).alias("score"))), lambda x: x["score"] > 0)).alias("m"),
+        "doc_id", "ord", "page", "section", F.explode(met).alias("m"),
     ).select("doc_id", "ord", "page", "section", "m.*")
     order = [F.col("score").desc(), "page", F.coalesce("section", F.lit("")), "doc_id", "ord"]
     near = Window.partitionBy("clause", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy(*order)

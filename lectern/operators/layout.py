@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio
-from ..functions.text import extract_section, furniture_key
+from ..functions.text import extract_section, furniture_key, heading_key, normalize_text
 
 #: Rows kept in view, and the ratio, of the near-duplicate pass.
 VIEW, ALIKE = 30, 96.0
@@ -174,20 +174,37 @@ def visible_pages(blocks: DataFrame, toc: DataFrame) -> DataFrame:
     return joined.withColumn("manual_page", F.when(F.col("t").isNull(), F.col("raw_page")).otherwise(page).cast("int")).drop("t")
 
 
+#: Abbreviations of a definition table, and how many of them it holds at least.
+ABBREVIATIONS, LEAST_ABBREVIATIONS = ["asl", "avl", "cpar", "scar", "dcc", "dhf", "dhr", "dmr", "qms"], 4
+
+
 def table_class(rows: DataFrame) -> DataFrame:
-    """(doc_id, table_id, content_class) of table rows (doc_id, table_id, row_index, text), by the first rows' words; the first rule that fits wins."""
-    head = F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("row_index") < 3, F.struct("row_index", "text")))), lambda r: r["text"]), " "))
-    whole = F.lower(F.array_join(F.sort_array(F.collect_list("text")), " "))
-    joined = rows.groupBy("doc_id", "table_id").agg(head.alias("head"), whole.alias("whole"))
-    has = lambda c, *words: F.exists(F.array(*map(F.lit, words)), lambda x: F.col(c).contains(x))
-    every = lambda c, *words: F.forall(F.array(*map(F.lit, words)), lambda x: F.col(c).contains(x))
+    """(doc_id, table_id, content_class) of table rows (doc_id, table_id, row_index, cells), by the labels of the first rows; the first rule that fits wins.
+
+    Labels are compared as heading keys (no blanks, no marks, lower case). Null cells count as empty.
+    """
+    rows = rows.withColumn("cells", F.transform("cells", lambda x: normalize_text(F.coalesce(x, F.lit("")))))
+    w = Window.partitionBy("doc_id", "table_id")
+    placed = rows.withColumn("nth", F.row_number().over(w.orderBy("row_index")))
+    full = F.exists("cells", lambda x: x != "")
+    labelled = F.coalesce(F.get("cells", F.lit(0)), F.lit("")).rlike("^[A-Z]$")
+    dated = F.coalesce(F.get("cells", F.lit(2)), F.lit("")).rlike(r"(?U)\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b")
+    of = lambda n: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("nth") <= n, F.struct("nth", F.array_join("cells", " ").alias("t"))))), lambda r: r["t"]), " ")
+    joined = placed.groupBy("doc_id", "table_id").agg(
+        *(heading_key(of(n)).alias(f"k{n}") for n in (1, 2, 3, 6)), of(5).alias("t5"), F.max(F.size("cells")).alias("columns"),
+        (F.count_if(full) > 0).alias("any"), F.every(~full | labelled).alias("lettered"), F.some(full & labelled & dated).alias("dated"),
+    )
+    has = lambda c, *words: F.forall(F.array(*map(F.lit, words)), lambda x: F.col(c).contains(x))
+    goes_on = (F.col("columns") == 3) & F.col("any") & F.col("lettered") & F.col("dated")
+    known = F.size(F.filter(F.array(*map(F.lit, ABBREVIATIONS)), lambda x: F.col("k6").contains(x)))
     kind = (
-        F.when(every("head", "section", "title", "page"), "table_of_contents")
-        .when(has("head", "approved by", "prepared by", "批准", "编制"), "approval_table")
-        .when(has("head", "revision", "版本") & has("head", "effective", "生效", "change", "更改"), "change_history")
-        .when(F.col("head").contains("iso 13485") & has("head", "21 cfr", "mdd", "mdr"), "regulatory_matrix")
-        .when(has("head", "abbreviation", "definition", "定义", "简写"), "definition_table")
-        .when(has("whole", "reference", "参考文件"), "regulatory_references")
+        F.when(has("k1", "章节chapter", "标题titles", "页码page"), "table_of_contents")
+        .when((has("k2", "评审reviewedby") | has("k2", "批准approvedby")) & has("k2", "职位title", "姓名name", "签名signature"), "approval_table")
+        .when(goes_on | has("k1", "版本rev", "更改描述changedescription", "生效日期effectivedate"), "change_history")
+        .when(has("k3", "iso13485", "referenceprocedures") & (has("k3", "qsr820") | has("k3", "21cfr820")), "regulatory_matrix")
+        .when((F.col("columns") >= 6) & has("t5", "QSP") & F.col("t5").rlike(r"(?U)\b\d+\.\d+(?:\.\d+)?\b"), "regulatory_matrix")
+        .when(known >= LEAST_ABBREVIATIONS, "definition_table")
+        .when(has("k3", "质量管理体系标准qualitymanagementsystemspecification") | has("k3", "适用法规suitableregulations"), "regulatory_references")
         .otherwise("bilingual_prose")
     )
     return joined.select("doc_id", "table_id", kind.alias("content_class"))

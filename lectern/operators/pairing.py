@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from .storage import stored
-from ..functions.text import HAN, LATIN, clean_chinese, clean_english, count_of, history_cell, structural_cell, table_cells
+from ..functions.text import HAN, LATIN, clean_alignment, clean_chinese, clean_english, count_of, history_cell, normalize_for_similarity, references, stable_id, structural_cell, table_cells
 
 BAND = 2
 #: Classes whose blocks are not paired in the ordinary way, and those that may stand in one language.
@@ -35,20 +35,32 @@ def allowed(a: Column, b: Column) -> Column:
     history = (a["content_class"] == "change_history") | (b["content_class"] == "change_history")
     revision = ~history | F.coalesce(a["revision_id"] == b["revision_id"], F.lit(False))
     heading = (a["block_type"] != "heading") | b["block_type"].isin("heading", "paragraph")
-    tables = F.coalesce(a["table_id"] == b["table_id"], F.lit(True))
+    tables = F.coalesce((a["table_id"] == b["table_id"]) | (a["table_id"] == "") | (b["table_id"] == ""), F.lit(True))
     return fine(a) & fine(b) & (F.abs(a["page"] - b["page"]) <= BAND) & revision & heading & tables
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """Adds the components of the pair score that are built-ins, and their weighted sum with token recall for meaning."""
+def prepared(blocks: DataFrame, reading: Column | str, source: bool) -> DataFrame:
+    """Blocks with what scoring reads of them, worked out once a block: ``reading`` (a source block's translation, a target's own text), its normal form and tokens, and entities."""
+    rows = blocks.withColumn("reading", F.coalesce(F.col(reading) if isinstance(reading, str) else reading, F.lit("")))
+    found = S.entity_set("text", "reading") if source else S.entity_set("reading")
+    return rows.withColumns({"norm": normalize_for_similarity("reading"), "bag": S.token_bag("reading"), "found": found})
+
+
+def scored(pairs: DataFrame, semantic: Column | None = None) -> DataFrame:
+    """Adds the six components of the pair score and their weighted sum, for pairs of ``prepared`` blocks.
+
+    Meaning is the full semantic similarity unless another column is given for it.
+    """
     a, b = F.col("a"), F.col("b")
+    if semantic is None:
+        semantic = S.semantic_of(a["norm"], b["norm"], S.bag_recall(a["bag"], b["bag"]), S.token_set_udf(), S.sequence_udf())
     parts = {
-        "semantic": S.token_recall(a["text"], b["text"]),
-        "entities": S.entity_score(a["text"], F.lit(""), b["text"]),
+        "semantic": semantic,
+        "entities": S.set_similarity(a["found"], b["found"]),
         "page": S.page_score(a["page"], b["page"]),
-        "section": F.lit(0.5),
-        "length": S.length_score(a["text"], b["text"]),
-        "layout": F.when(a["page"] != b["page"], 0.2).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(a["ord"] - b["ord"]) / 800)),
+        "section": S.section_score(a["section"], b["section"]),
+        "length": S.length_score(a["reading"], b["reading"]),
+        "layout": S.layout_score(a, b),
     }
     return pairs.withColumns({f"{k}_score": v for k, v in parts.items()}).withColumn("score", S.weighted_score({k: F.col(f"{k}_score") for k in parts}))
 
@@ -130,6 +142,30 @@ def split_label(c: Column) -> Column:
     return made
 
 
+def eligible(b: Column | None = None) -> Column:
+    """Whether a block's text can be held against a translation: not furniture, not a bare number, four characters at least."""
+    c = (lambda name: F.col(name)) if b is None else (lambda name: b[name])
+    text = F.trim(c("text"))
+    return ~c("ignored") & ~c("content_class").isin(*UNPAIRED_CLASSES, "reference_table") & ~c("block_type").isin("header", "footer", "reference_table") & (F.length(text) >= 4) & ~text.rlike(r"(?U)^[\d\s./():-]+$")
+
+
+def reference_mapping(chinese: Column, english: Column) -> Column:
+    """Whether a pair only maps standards: two references, or one beside a short side without a sentence end."""
+    found = F.size(references(english))
+    return (found >= 2) | ((found >= 1) & (F.length(chinese) < 120) & ~chinese.rlike("[。；;]"))
+
+
+def short_label(chinese: Column, english: Column) -> Column:
+    return (count_of(chinese, HAN) <= 18) & (F.regexp_count(english, F.lit("[A-Za-z]+")) <= 10) & ~chinese.rlike("[。；;！？!?]")
+
+
+def translation_of_unit(translation: Column, units: Column, index: Column) -> Column:
+    """The part of a row's translation that belongs to a unit: the i-th of as many parts as there are units; the whole for a single unit; else empty."""
+    whole = clean_alignment(translation)
+    parts = F.filter(F.transform(F.split(whole, r"(?U)\s*\|\s*|\n+"), clean_english), lambda x: x != "")
+    return F.when(F.size(parts) == units, F.get(parts, index)).when(units == 1, whole).otherwise("")
+
+
 def alignment_units(text: Column, content_class: Column) -> Column:
     """Units (chinese, english) of a row's cells: a fold that holds the last cell of one language until one of the other comes."""
     zero = F.struct(F.lit(None).cast("string").alias("zh"), F.lit(None).cast("string").alias("en"), F.array().cast(f"array<{UNIT}>").alias("out"))

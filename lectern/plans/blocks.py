@@ -238,13 +238,46 @@ def q_visible_pages(spark, sf_dir):
     return L.visible_pages(spark.createDataFrame(PLACED, "doc_id int, ord int, section string, raw_page int"), toc)
 
 
-TABLES = [(1, "a", 0, "Section | Title | Page"), (1, "a", 1, "0.1 | Scope | 3"), (1, "b", 0, "Prepared by | Date"), (1, "c", 0, "Revision | Effective date | Change"), (1, "d", 0, "Abbreviation | Meaning"), (1, "e", 0, "x | y"), (1, "e", 4, "Reference"), (1, "f", 0, "x | y")]
-CLASSES = [(1, "a", "table_of_contents"), (1, "b", "approval_table"), (1, "c", "change_history"), (1, "d", "definition_table"), (1, "e", "regulatory_references"), (1, "f", "bilingual_prose")]
-
-
-@query("SELECT * FROM " + values(CLASSES, "doc_id, table_id, content_class"))
+#: Rows of tables, made of the rows of ``part`` so that every rule is met with all and with one too few of its labels.
+_CELLS = {
+    0: ["章节 Chapter", "标题 Title", "s", "页码 Page"], 1: ["评审 Reviewed by", "职位 Title", "姓名 Name", "签名 Signature"], 2: ["版本 Rev.", "更改描述 Change Description", "生效日期 Effective Date"],
+    3: ["ISO 13485", "21 CFR 820", "Reference Procedures"], 4: ["ASL", "AVL", "CPAR", "SCAR"], 5: ["质量管理体系标准 Quality Management System Specification"], 6: ["A", "first", "2020-01-02"], 7: ["适用法规 Suitable Regulations"],
+}
+
+
+def _table_rows(spark, sf_dir):
+    """Table p_partkey has two rows: a plain one and one of labels, which comes first or second; every other table lacks its last label."""
+    parts = B.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    labels = F.array(*(F.array(*map(F.lit, _CELLS[k])) for k in range(8)))
+    key = F.col("p_partkey")
+    full = F.get(labels, (key % 8).cast("int"))
+    mine = F.when((key / 8).cast("long") % 2 == 1, F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(1)))).otherwise(full)
+    first = (key / 16).cast("long") % 2 == 0
+    rows = parts.select(key.alias("doc_id"), F.lit("t").alias("table_id"), F.explode(F.array(F.struct(F.when(first, 0).otherwise(1).alias("row_index"), mine.alias("cells")), F.struct(F.when(first, 1).otherwise(0).alias("row_index"), F.array("p_name").alias("cells")))).alias("r"))
+    return rows.select("doc_id", "table_id", "r.*")
+
+
+_KEY = "lower(regexp_replace(array_to_string({}, ' '), '[\\s[:punct:]，。；：、（）【】《》]+', '', 'g'))"
+_LABELS = "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in _CELLS[k]) + "]" for k in range(8)) + "]"
+TABLE_CLASSES = f"""WITH l AS (SELECT p_partkey, p_name, {_LABELS}[p_partkey % 8 + 1] AS cells FROM part),
+m AS (SELECT p_partkey, p_name, CASE WHEN (p_partkey // 8) % 2 = 1 THEN cells[1:greatest(len(cells) - 1, 1)] ELSE cells END AS cells, (p_partkey // 16) % 2 = 0 AS first FROM l),
+n AS (SELECT *, CASE WHEN first THEN cells ELSE [p_name] END AS r1, list_concat(CASE WHEN first THEN cells ELSE [p_name] END, CASE WHEN first THEN [p_name] ELSE cells END) AS r2, greatest(len(cells), 1) AS cols FROM m),
+k AS (SELECT *, {_KEY.format("r1")} AS k1, {_KEY.format("r2")} AS k2 FROM n)
+SELECT p_partkey AS doc_id, 't' AS table_id, CASE
+  WHEN contains(k1, '章节chapter') AND contains(k1, '标题titles') AND contains(k1, '页码page') THEN 'table_of_contents'
+  WHEN (contains(k2, '评审reviewedby') OR contains(k2, '批准approvedby')) AND contains(k2, '职位title') AND contains(k2, '姓名name') AND contains(k2, '签名signature') THEN 'approval_table'
+  WHEN contains(k1, '版本rev') AND contains(k1, '更改描述changedescription') AND contains(k1, '生效日期effectivedate') THEN 'change_history'
+  WHEN cols = 3 AND regexp_full_match(p_name, '[A-Z]') THEN 'change_history'
+  WHEN contains(k2, 'iso13485') AND (contains(k2, 'qsr820') OR contains(k2, '21cfr820')) AND contains(k2, 'referenceprocedures') THEN 'regulatory_matrix'
+  WHEN len(list_filter(['asl', 'avl', 'cpar', 'scar', 'dcc', 'dhf', 'dhr', 'dmr', 'qms'], lambda x: contains(k2, x))) >= 4 THEN 'definition_table'
+  WHEN contains(k2, '质量管理体系标准qualitymanagementsystemspecification') OR contains(k2, '适用法规suitableregulations') THEN 'regulatory_references'
+  ELSE 'bilingual_prose' END AS content_class FROM k"""
+
+
+@query(TABLE_CLASSES)
 def q_table_class(spark, sf_dir):
-    return L.table_class(spark.createDataFrame(TABLES, "doc_id int, table_id string, row_index int, text string"))
+    """Classes of tables of labels, over all parts."""
+    return L.table_class(_table_rows(spark, sf_dir))
 
 
 WORDS = [(1, 1, 1, 1, 0, "Control", 1.0, 1.0, 4.0, 2.0, 0.9), (1, 1, 1, 1, 1, "of", 4.5, 1.0, 5.0, 2.1, 0.98), (1, 1, 1, 1, 2, "x", 6.0, 1.0, 7.0, 2.0, 0.1), (1, 1, 1, 2, 0, "Records", 1.0, 3.0, 5.0, 4.0, 0.5)]

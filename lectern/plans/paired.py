@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..operators import pairing as P
+from ..operators.pair_blocks import pair_blocks
 from ..sources import blocks as B
 from .blocks import TURNS
 from .registry import query, values
@@ -21,25 +23,56 @@ def _sides(spark, sf_dir):
 
 
 _TOKENS = "regexp_extract_all(trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s./:-]', ' ', 'g'), '\\s+', ' ', 'g')), '[a-z0-9]+(?:[./:-][a-z0-9]+)*')"
+#: Words with letters beyond ASCII hold no entity; marks beyond it part words.
+_PLAIN = r"regexp_replace(translate({}, '，。；：、（）【】《》！？“”‘’…–—', '                   '), '[A-Za-z0-9_]*[\x{{80}}-\x{{10FFFF}}][A-Za-z0-9_\x{{80}}-\x{{10FFFF}}]*', '‡', 'g')"
 _ENTITY = r"(?i)\b(?:QSP[0-9]{4}|WI[0-9]{3,5}|ISO[-\s]?[0-9]+|21\s+CFR(?:\s+Part)?\s*[0-9]+|EU\s+(?:MDR|MDD)|YY/?T?\s*[0-9]+|[A-Z]{2,6}|[0-9]+(?:\.[0-9]+)+(?:\.[a-z]\)?)?)\b"
-CANDIDATES = f"""WITH {TURNS}, k AS (SELECT *, {_TOKENS.format("text")} AS tok FROM turns),
-pairs AS (SELECT a.doc_id, a.ord AS a_ord, b.ord AS b_ord, a.text AS a_text, b.text AS b_text, a.tok AS a_tok, b.tok AS b_tok, a.page AS a_page, b.page AS b_page
+_REFERENCE = (
+    r"(?i)\b(?:ISO[-\s]?[0-9]{4,5}(?::[0-9]{4})?|BS\s+EN\s+ISO\s+[0-9]{4,5}(?::[0-9]{4})?|QSP[0-9]{4}|WI[0-9]{3,5}|21\s+CFR(?:\s+Part)?\s*[0-9]+"
+    r"|(?:EU\s+)?(?:MDR|MDD)|YY/?T?\s*[0-9]{4}|(?:[0-9]{2}/[0-9]{2}/EEC)|Regulation\s*\(EU\)\s*[0-9]{4}/[0-9]+|Directive\s*[0-9]{2}/[0-9]{2}/EEC)\b"
+)
+_FOUND = f"list_distinct(list_transform(list_concat(regexp_extract_all(plain, '{_ENTITY}'), regexp_extract_all(plain, '{_REFERENCE}')), lambda x: upper(x)))"
+CANDIDATES = f"""WITH {TURNS}, t0 AS (SELECT *, {_PLAIN.format("text").replace("{{", "{").replace("}}", "}")} AS plain FROM turns), k AS (SELECT *, {_TOKENS.format("text")} AS tok, {_FOUND} AS found FROM t0),
+pairs AS (SELECT a.doc_id, a.ord AS a_ord, b.ord AS b_ord, a.text AS a_text, b.text AS b_text, a.tok AS a_tok, b.tok AS b_tok, a.page AS a_page, b.page AS b_page, a.found AS a_found, b.found AS b_found
   FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.language = 'zh' AND b.language = 'en' AND abs(a.page - b.page) <= 2),
 parts AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(a_tok), lambda t: least(len(list_filter(a_tok, lambda x: x = t)), len(list_filter(b_tok, lambda x: x = t))))), 0)::DOUBLE / greatest(len(a_tok), 1) AS semantic,
-  CASE abs(a_page - b_page) WHEN 0 THEN 1.0 WHEN 1 THEN 0.65 WHEN 2 THEN 0.2 ELSE 0.0 END::DOUBLE AS page_s,
+  CASE WHEN len(a_found) + len(b_found) = 0 THEN 0.5 ELSE len(list_intersect(a_found, b_found))::DOUBLE / len(list_distinct(list_concat(a_found, b_found))) END AS entity_s,
+  CASE abs(a_page - b_page) WHEN 0 THEN 1.0 WHEN 1 THEN 0.65 WHEN 2 THEN 0.2 ELSE 0.0 END::DOUBLE AS page_s, CASE WHEN a_page = b_page THEN 1.0 ELSE 0.0 END::DOUBLE AS section_s,
   CASE WHEN length(a_text) = 0 OR length(b_text) = 0 THEN 0.0 ELSE sqrt(least(length(a_text), length(b_text))::DOUBLE / greatest(length(a_text), length(b_text))) END AS length_s,
   CASE WHEN a_page <> b_page THEN 0.2 ELSE greatest(0.0, 1 - abs(a_ord - b_ord)::DOUBLE / 800) END::DOUBLE AS layout_s FROM pairs)"""
+PARTS = ["semantic", "entities", "page", "section", "length", "layout"]
+
+
+def _blocks(spark, sf_dir):
+    """Turns as full blocks; a page is its own section."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return _turns(spark, sf_dir).withColumns(
+        {"section": F.concat(F.lit("p"), F.col("page").cast("string")), "content_class": F.lit("bilingual_prose"), "block_type": F.lit("paragraph"), "ignored": F.lit(False), "revision_id": none("string"),
+         "effective_date": none("string"), "table_id": none("string"), "row_index": none("int"), "col_index": none("int"), "y0": none("double"), "y1": none("double")}
+    )
 
 
 def _scored(spark, sf_dir):
-    rows = P.scored(P.candidates(*_sides(spark, sf_dir)))
-    return rows.select("doc_id", F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), "semantic_score", "page_score", "length_score", "layout_score", "score")
+    rows = _blocks(spark, sf_dir)
+    pairs = P.candidates(P.prepared(rows.where("language = 'zh'"), "text", True), P.prepared(rows.where("language = 'en'"), "text", False)).where(P.allowed(F.col("a"), F.col("b")))
+    # Token recall stands for meaning here, as SQL has no edit-distance ratios; q_pair_blocks has the full score.
+    rows = P.scored(pairs, S.bag_recall(F.col("a.bag"), F.col("b.bag")))
+    return rows.select("doc_id", F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), *(F.round(f"{p}_score", 6).alias(f"{p}_score") for p in PARTS), F.round("score", 6).alias("score"))
 
 
-@query(f"""{CANDIDATES} SELECT doc_id, a_ord, b_ord, round(semantic, 6) AS semantic_score, page_s AS page_score, round(length_s, 6) AS length_score, round(layout_s, 6) AS layout_score FROM parts""")
+@query(f"""{CANDIDATES} SELECT doc_id, a_ord, b_ord, round(semantic, 6) AS semantic_score, round(entity_s, 6) AS entities_score, page_s AS page_score, section_s AS section_score, round(length_s, 6) AS length_score, round(layout_s, 6) AS layout_score,
+  round(least(0.55 * semantic + 0.15 * entity_s + 0.10 * page_s + 0.10 * section_s + 0.05 * length_s + 0.05 * layout_s, 1.0), 6) AS score FROM parts""")
 def q_candidates(spark, sf_dir):
-    rows = _scored(spark, sf_dir)
-    return rows.select("doc_id", "a_ord", "b_ord", F.round("semantic_score", 6).alias("semantic_score"), "page_score", F.round("length_score", 6).alias("length_score"), F.round("layout_score", 6).alias("layout_score"))
+    return _scored(spark, sf_dir)
+
+
+@query()
+def q_pair_blocks(spark, sf_dir):
+    """Every stage of the pairing, over all turns; a source turn's translation is the text of the next target turn with every third word left out."""
+    blocks = _blocks(spark, sf_dir)
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    words = F.filter(F.split(F.lead("text").over(w), " "), lambda x, i: i % 3 != 2)
+    said = blocks.withColumn("translation", F.array_join(words, " ")).where("language = 'zh' and translation is not null").select("doc_id", "block_id", "translation")
+    return pair_blocks(blocks, said).withColumns({"semantic": F.round("semantic", 6), "score": F.round("score", 6)})
 
 
 #: The same choice, a candidate at a time in the order of scores. Scores are whole thousandths, so that both engines rank alike.
