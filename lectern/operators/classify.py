@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalogs import HEADINGS
-from ..functions.text import HAN, HAN_PLAIN, category, classify_language, col, count_of, normalize_text, plain_heading, reference_row, section_at_or_after, squeeze, stable_id, standalone_locator
+from ..functions.text import HAN, HAN_PLAIN, category, classify_language, col, count_of, heading_key, normalize_text, plain_heading, reference_row, section_at_or_after, squeeze, stable_id, standalone_locator
 
 #: Page numbers, metadata and section classes of the library workflow.
 PAGE_NUMBER = r"(?iU)^\s*(?:第\s*)?\d+\s*(?:页(?:\s*共\s*\d+\s*页)?|/\s*\d+|of\s+\d+)?\s*$"
@@ -155,3 +155,49 @@ def key_metadata(blocks: DataFrame, first: int = 20) -> DataFrame:
     grab = lambda p: F.nullif(F.trim(F.regexp_extract("text", p, 1)), F.lit(""))
     title = F.when(F.col("text").rlike(f"[A-Za-z]|{HAN}"), squeeze("text"))
     return early.groupBy("doc_id").agg(at(title).alias("title"), at(grab(r"(?i)\bdoc(?:ument)?\.?\s*no\.?\s*[:：]?\s*([A-Za-z0-9-]+)")).alias("document_no"), at(grab(r"(?i)\brev(?:ision)?\.?\s*[:：]?\s*([A-Z0-9.]+)\b")).alias("revision"))
+
+
+def section_numbering(template: Column, section: Column, heading_style: Column) -> Column:
+    """Whether an automatic number is a section's: several placeholders, or one in a heading style, before '.0' or after a fixed parent; never with a bracket."""
+    several = F.regexp_count(template, F.lit("%[1-9]")) > 1
+    fixed = template.rlike(r"%[1-9]\s*\.\s*0\b") | template.rlike(r"\b\d+\s*\.\s*%[1-9]")
+    numbered = F.coalesce(section, F.lit("")).rlike(r"^\d+(?:\.\d+)*$")
+    return numbered & template.isNotNull() & ~template.contains(")") & (several | heading_style | fixed)
+
+
+def heading_paragraph(text: Column, heading_style: Column, in_contents: Column) -> Column:
+    """Whether a paragraph is a heading: by style, as a history title, or numbered, short and named in the contents."""
+    t = normalize_text(text)
+    return heading_style | t.startswith("更改历史记录") | F.lower(t).startswith("history of change") | (t.rlike(r"^\d+(?:\.\d+)*\s+") & in_contents & (F.length(t) <= 160))
+
+
+#: Words of an address block, as heading keys.
+ADDRESS = ["office", "address", "电话tel", "传真fax", "网址website", "hongkong"]
+
+
+def paragraph_class(text: Column, section: Column) -> Column:
+    """The content class of a paragraph by its section and words. Sections are compared by prefix, so 3.10 counts as 3.1 too."""
+    key = heading_key(text)
+    address = text.contains("香港")
+    for word in ADDRESS:
+        address = address | key.contains(word)
+    section = F.coalesce(section, F.lit(""))
+    return (
+        F.when((section == "1.0") & address, "address_block").when(section.startswith("3.1"), "organization_chart_or_structure").when(section.startswith("3.2"), "job_description")
+        .when(text.rlike(r"(?i)\bQSP\d{4}\b"), "procedure_reference").otherwise("bilingual_prose")
+    )
+
+
+DATE = r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b"
+
+
+def row_attributes(cells: Column) -> Column:
+    """(revision_id, effective_date) of a row: its first cell if a single capital, and the first date of any cell; null where there is none."""
+    first = F.get(cells, F.lit(0))
+    dates = F.filter(F.transform(cells, lambda x: F.regexp_extract(normalize_text(x), DATE, 0)), lambda x: x != "")
+    return F.struct(F.when(normalize_text(first).rlike("^[A-Z]$"), normalize_text(first)).alias("revision_id"), F.get(dates, F.lit(0)).alias("effective_date"))
+
+
+def reference_language(text: Column) -> Column:
+    han, latin = text.rlike("[㐀-鿿]"), text.rlike("[A-Za-z]")
+    return F.when(han & latin, "Chinese and English").when(han, "Chinese").when(latin, "English").otherwise("Unknown")

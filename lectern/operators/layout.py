@@ -245,3 +245,60 @@ def section_of_lines(blocks: DataFrame) -> DataFrame:
     return gated_sections(blocks.select("doc_id", "ord", extract_section("text").alias("candidate")), segment_gate)
 
 
+
+
+#: Words of running heads, as written and without blanks.
+HEAD_MARKS = ["文件编号 doc no", "文件版本 doc rev", "页次 page no"]
+HEAD_MARKS_CLOSE = ["文件编号docno", "文件版本docrev", "页次pageno", "文件名称documentname"]
+TOP, BOTTOM = 135, 790
+
+
+def running_furniture(blocks: DataFrame) -> DataFrame:
+    """Adds ``furniture``: running heads by their words, and in documents of more than two pages by type or place; numbered sections are kept unless marked."""
+    lower = F.lower("text")
+    close = F.regexp_replace(lower, r"(?U)\s+", "")
+    pages = F.max("page").over(Window.partitionBy("doc_id"))
+    marked = F.lit(False)
+    for words, c in ((HEAD_MARKS, lower), (HEAD_MARKS_CLOSE, close)):
+        for word in words:
+            marked = marked | c.contains(word)
+    section = (F.coalesce(extract_section("text"), F.lit("")) != "") & F.col("text").rlike("[A-Za-z㐀-鿿]")
+    placed = F.coalesce((F.col("y1") <= TOP) | (F.col("y0") >= BOTTOM), F.lit(False)) | F.col("block_type").isin("header", "footer")
+    return blocks.withColumn("furniture", F.when(marked, True).when(section, False).otherwise(placed & (pages > 2)))
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """Adds ``place``: by page, height (the order where there is no box), left edge and order."""
+    order = ["page", F.coalesce("y0", F.col("ord").cast("double")), F.coalesce("x0", F.lit(0.0)), "ord"]
+    return blocks.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+
+
+#: List marks, and ends of sentences.
+BULLET = r"^\s*(?:[-•●▪◦]|[(（]?\d+[.)、）]|[A-Za-z][.)])\s*"
+SENTENCE_END = r"[。！？.!?；;：:]$|[。！？.!?；;：:][”’'\")]$"
+GAP, INDENT, CLOSE_GAP, CLOSE_INDENT = (-2, 22), 24, 8, 6
+
+
+def paragraph_groups(blocks: DataFrame) -> DataFrame:
+    """Adds ``group_id``: blocks (doc_id, ord, page, language, segment_id, section, block_type, table_index, row_index, cell_index, x0, y0, y1, text) that go on one from another.
+
+    Only blocks in one language join; within tables those of one cell, elsewhere by place, list marks and ends of sentences.
+    """
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    p = lambda c: F.lag(c).over(w)
+    ended, bullet = lambda t: t.rlike(SENTENCE_END), lambda t: t.rlike("(?U)" + BULLET)
+    other_page = F.coalesce((F.col("page") != p("page")) & (F.col("page") != 0) & (p("page") != 0), F.lit(False))
+    in_table = F.col("table_index").isNotNull() | p("table_index").isNotNull()
+    same_cell = F.lit(True)
+    for c in ("table_index", "row_index", "cell_index"):
+        same_cell = same_cell & F.col(c).eqNullSafe(p(c))
+    fall, shift = F.col("y0") - p("y1"), F.abs(F.col("x0") - p("x0"))
+    by_place = F.when((fall < GAP[0]) | (fall > GAP[1]) | (shift > INDENT), False).when(~ended(p("text")), True).otherwise((fall <= CLOSE_GAP) & (shift <= CLOSE_INDENT))
+    by_text = ~ended(p("text")) & (F.length(p("text")) < F.when(F.col("language") == "English", 90).otherwise(55))
+    goes_on = (
+        F.when(~F.col("language").isin("Chinese", "English") | ~F.col("language").eqNullSafe(p("language")) | ~F.col("segment_id").eqNullSafe(p("segment_id")), False)
+        .when(other_page, False).when(in_table, same_cell).when(F.col("block_type") == "heading", False).when(bullet(F.col("text")), False)
+        .when(bullet(p("text")) & ended(p("text")), False).when(fall.isNotNull() & shift.isNotNull(), by_place).otherwise(by_text)
+    )
+    first = F.row_number().over(w) == 1
+    return blocks.withColumn("__new", F.when(first | ~F.coalesce(goes_on, F.lit(False)), 1).otherwise(0)).withColumn("group_id", F.sum("__new").over(w).cast("int")).drop("__new")

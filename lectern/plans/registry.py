@@ -42,4 +42,4 @@ def values(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") t({columns})"
 
 
-from . import blocks, checked, classified, paired, references  # noqa: E402, F401
+from . import blocks, checked, classified, paired, references, reported  # noqa: E402, F401
