@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio
-from ..functions.text import extract_section, furniture_key, heading_key, normalize_text
+from ..functions.text import extract_section, furniture_key, heading_key, language_of, normalize_text, section_parts, stable_id
 
 #: Rows kept in view, and the ratio, of the near-duplicate pass.
 VIEW, ALIKE = 30, 96.0
@@ -302,3 +302,35 @@ def paragraph_groups(blocks: DataFrame) -> DataFrame:
     )
     first = F.row_number().over(w) == 1
     return blocks.withColumn("__new", F.when(first | ~F.coalesce(goes_on, F.lit(False)), 1).otherwise(0)).withColumn("group_id", F.sum("__new").over(w).cast("int")).drop("__new")
+
+
+def split_mixed(blocks: DataFrame) -> DataFrame:
+    """Blocks (doc_id, block_id, ord, text) cut into pieces (doc_id, block_id, ord, text, language): neighbouring lines of one language stay together.
+
+    A line that opens a section or a list item starts a piece. Order is a hundred times the block's, plus the piece's number; a block of one line stays as it is.
+    """
+    lines = F.filter(F.transform(F.split("text", r"[\n\r]+"), normalize_text), lambda x: x != "")
+    rows = blocks.withColumn("__lines", lines)
+    single = rows.where(F.size("__lines") <= 1).select("doc_id", "block_id", (F.col("ord") * 100).alias("ord"), "text", language_of("text").alias("language"))
+    each = rows.where(F.size("__lines") > 1).select("doc_id", F.col("block_id").alias("__block"), "ord", F.posexplode("__lines").alias("__i", "__t")).withColumn("language", language_of("__t"))
+    w = Window.partitionBy("doc_id", "__block").orderBy("__i")
+    opens = (F.coalesce(extract_section("__t"), F.lit("")) != "") | F.col("__t").rlike("^[-•·]")
+    goes_on = F.col("language").isin("zh", "en") & (F.col("language") == F.lag("language").over(w)) & ~opens
+    numbered = each.withColumn("__new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("__n", F.sum("__new").over(w) - 1)
+    held = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__t"))), lambda x: x["__t"]), " ")
+    pieces = numbered.groupBy("doc_id", "__block", "ord", "__n").agg(held.alias("text"), F.first("language").alias("language"))
+    return single.unionByName(pieces.select("doc_id", stable_id("seg", "__block", "__n", "text").alias("block_id"), (F.col("ord") * 100 + F.col("__n")).alias("ord"), "text", "language"))
+
+
+def section_segments(blocks: DataFrame) -> DataFrame:
+    """(doc_id, segment_id, section, page, start_ord, end_ord, blocks): unbroken ranges of one section on one page."""
+    rows = runs(blocks, ["doc_id"], "ord", ["section", "page"], "segment_id")
+    return rows.groupBy("doc_id", "segment_id", "section", "page").agg(F.min("ord").alias("start_ord"), F.max("ord").alias("end_ord"), F.count(F.lit(1)).alias("blocks"))
+
+
+def transition_allowed(previous: Column, candidate: Column) -> Column:
+    """Whether a document that is in section ``previous`` may go on in ``candidate``: into it, or forward, but not back to what it lies in."""
+    p, c = section_parts(previous), section_parts(candidate)
+    begins = lambda a, b: F.slice(b, 1, F.size(a)) == a
+    by_number = F.when(begins(p, c), True).when(begins(c, p), False).otherwise(c > p)
+    return F.when(F.coalesce(candidate, F.lit("")) == "", False).when(previous.isNull() | (previous == candidate) | p.isNull() | c.isNull(), True).otherwise(by_number)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import HAN, col, count_of, normalize_text
+from ..functions.text import HAN, col, count_of, normalize_text, padded_parts, section_at_or_after
 
 #: Severities in their order; block types that are not counted as content.
 SEVERITIES = ["Critical", "Major", "Minor", "Observation"]
@@ -119,3 +119,37 @@ def chosen_translation(uses: DataFrame, by: str, translation: str) -> DataFrame:
     counted = uses.groupBy(by, key.alias("term_key")).agg(F.count(F.lit(1)).alias("uses"))
     best = F.min(F.struct((-F.col("uses")).alias("n"), "term_key")).alias("best")
     return counted.groupBy(by).agg(best, F.count(F.lit(1)).alias("variants")).select(by, F.col("best.term_key").alias("recommended"), (-F.col("best.n")).alias("uses"), "variants")
+
+
+def section_packages(blocks: DataFrame, start: str = "2.0", tables: bool = True) -> DataFrame:
+    """(document, section, place, title, page_start, page_end, block_ids) of sections from ``start`` on, placed by their numbers within a document."""
+    rows = blocks.where((F.coalesce("section", F.lit("")) != "") & section_at_or_after("section", F.lit(start)))
+    if not tables:
+        rows = rows.where("table_index is null")
+    held = F.sort_array(F.collect_list(F.struct("ord", "block_id")))
+    title = F.min_by(F.when(F.col("title") != "", F.col("title")), F.when(F.col("title") != "", F.col("ord")))
+    made = rows.groupBy("document", "section").agg(F.coalesce(title, F.lit("")).alias("title"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.transform(held, lambda x: x["block_id"]).alias("block_ids"))
+    order = [F.coalesce(padded_parts("section"), F.array_repeat(F.lit(9999), 6)), "section"]
+    return made.withColumn("place", F.row_number().over(Window.partitionBy("document").orderBy(*order)))
+
+
+#: Scores of the words for confidence.
+CONFIDENCE = {"High": 0.9, "Medium": 0.65, "Low": 0.35}
+
+
+def answered_pairs(results: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(pair_id, document, section, score, page, chinese_ids, english_ids) of the pairs in usable section results (document, section, position, status, page_start, pairs).
+
+    A pair without an id gets one of its place; an id met before is told apart by document and section. The page is that of the first known block, else the section's first.
+    """
+    item = results.where(F.col("status").isin("OK", "Needs review")).select("document", "section", "position", "page_start", F.posexplode("pairs").alias("i", "p"))
+    made = F.concat_ws(":", "document", "section", F.lit("pair"), (F.col("i") + 1).cast("string"))
+    rows = item.withColumn("own_id", F.when(F.coalesce(F.col("p.pair_id"), F.lit("")) != "", F.col("p.pair_id")).otherwise(made))
+    again = F.row_number().over(Window.partitionBy("own_id").orderBy("position", "i")) > 1
+    rows = rows.withColumn("pair_id", F.when(again, F.concat_ws(":", "document", "section", "own_id")).otherwise(F.col("own_id")))
+    score = F.lit(CONFIDENCE["Medium"])
+    for word, value in CONFIDENCE.items():
+        score = F.when(F.col("p.confidence") == word, value).otherwise(score)
+    ids = rows.select("pair_id", F.posexplode(F.concat("p.chinese_ids", "p.english_ids")).alias("n", "block_id"))
+    page = ids.join(blocks.select("block_id", "page"), "block_id").groupBy("pair_id").agg(F.min_by("page", "n").alias("page"))
+    return rows.join(page, "pair_id", "left").select("pair_id", "document", "section", score.alias("score"), F.coalesce("page", "page_start").alias("page"), F.col("p.chinese_ids").alias("chinese_ids"), F.col("p.english_ids").alias("english_ids"))

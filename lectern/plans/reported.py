@@ -223,3 +223,60 @@ def q_row_attributes(spark, sf_dir):
 def q_reference_language(spark, sf_dir):
     rows = _table(spark, sf_dir, "part", "p_partkey", "CASE p_partkey % 4 WHEN 0 THEN concat('标准 ', p_name) WHEN 1 THEN concat('标准 ', p_size) WHEN 2 THEN p_name ELSE concat(p_size, ' §') END AS text")
     return rows.select("p_partkey", C.reference_language(F.col("text")).alias("language"))
+
+
+#: Whole documents as blocks, with lines of both languages, list items and a section among them.
+def _mixed(line: str, i: str) -> str:
+    return f"CASE WHEN {i} % 7 = 3 THEN '版本标准' WHEN {i} % 7 = 5 THEN '- item' WHEN {i} % 13 = 8 THEN '4.2 Scope' ELSE 'word ' || {line} END"
+
+
+_NORMAL = "trim(regexp_replace(translate({}, chr(160), ' '), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, len(l) AS n, i, {_mixed("l[i]", "(i - 1)")} AS t FROM d, unnest(range(1, len(l) + 1)) u(i)),
+f AS (SELECT *, {_NORMAL.format("t")} AS x FROM e), k AS (SELECT *, CASE WHEN x = '版本标准' THEN 'zh' ELSE 'en' END AS language FROM f),
+s AS (SELECT *, CASE WHEN language = lag(language) OVER w AND x NOT LIKE '-%' AND x <> '4.2 Scope' THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS piece FROM s)
+SELECT doc_id, CASE WHEN n = 1 THEN 'b' || doc_id ELSE 'seg_' || substr(sha256('b' || doc_id || chr(31) || piece::INT || chr(31) || string_agg(x, ' ' ORDER BY i)), 1, 12) END AS block_id, piece::BIGINT + 100 * (doc_id % 9) AS ord, CASE WHEN n = 1 THEN string_agg(t, ' ') ELSE string_agg(x, ' ' ORDER BY i) END AS text, language
+FROM g GROUP BY doc_id, n, piece, language""")
+def q_split_mixed(spark, sf_dir):
+    lines = "array_join(transform(split(text, '\n'), (l, i) -> {}), '\n') AS text".format(_mixed("l", "i"))
+    return L.split_mixed(_table(spark, sf_dir, "documents", "doc_id", "concat('b', doc_id) AS block_id", "doc_id % 9 AS ord", lines))
+
+
+SECTIONED = ["doc_id", "pos AS ord", "page", "CASE WHEN pos % 13 < 4 THEN NULL WHEN pos % 13 < 9 THEN '4.1' ELSE '4.2' END AS section"]
+
+
+@query(f"""WITH {LINES}, b AS (SELECT {', '.join(SECTIONED)} FROM lines), n AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR section IS DISTINCT FROM lag(section) OVER w OR page <> lag(page) OVER w THEN 1 ELSE 0 END AS new FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+g AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY ord))::INT AS segment_id FROM n) SELECT doc_id, segment_id, section, page, min(ord) AS start_ord, max(ord) AS end_ord, count(*) AS blocks FROM g GROUP BY ALL""")
+def q_section_segments(spark, sf_dir):
+    return L.section_segments(B.lines(B.table(spark, sf_dir, "documents")).selectExpr(*SECTIONED))
+
+
+MOVES = ["l_orderkey", "l_linenumber", "CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 7 = 1 THEN concat(l_partkey % 4, '') ELSE concat(l_partkey % 4, '.', l_suppkey % 3) END AS previous", "CASE WHEN l_linenumber = 7 THEN '' WHEN l_linenumber = 6 THEN 'x' WHEN l_linenumber % 2 = 0 THEN concat(l_orderkey % 4, '.', l_orderkey % 3, '.', l_partkey % 3) ELSE concat(l_orderkey % 4, '') END AS candidate"]
+
+
+@query(f"""WITH m AS (SELECT {', '.join(MOVES)} FROM lineitem), p AS (SELECT *, list_transform(string_split(previous, '.'), lambda x: try_cast(x AS INT)) AS a, CASE WHEN candidate IN ('', 'x') THEN NULL ELSE list_transform(string_split(candidate, '.'), lambda x: try_cast(x AS INT)) END AS b FROM m)
+SELECT l_orderkey, l_linenumber, CASE WHEN candidate = '' THEN false WHEN previous IS NULL OR previous = candidate OR b IS NULL THEN true WHEN b[1:len(a)] = a THEN true WHEN a[1:len(b)] = b THEN false ELSE b > a END AS allowed FROM p""")
+def q_transition_allowed(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem", *MOVES)
+    return rows.select("l_orderkey", "l_linenumber", L.transition_allowed(F.col("previous"), F.col("candidate")).alias("allowed"))
+
+
+PACKED = ["o_orderstatus AS document", "concat(o_custkey % 12, '.', o_custkey % 7) AS section", "o_orderkey AS ord", "concat('b', o_orderkey) AS block_id", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '' END AS title", "CAST(o_custkey % 50 AS INT) AS page"]
+
+
+@query(f"""WITH b AS (SELECT {', '.join(PACKED)}, o_custkey % 12 AS x, o_custkey % 7 AS y FROM orders)
+SELECT document, section, coalesce(arg_min(title, ord) FILTER (title <> ''), '') AS title, min(page) AS page_start, max(page) AS page_end, list(block_id ORDER BY ord) AS block_ids, (row_number() OVER (PARTITION BY document ORDER BY x, y))::INT AS place FROM b WHERE x >= 2 GROUP BY document, section, x, y""")
+def q_section_packages(spark, sf_dir):
+    return R.section_packages(_table(spark, sf_dir, "orders", *PACKED))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS position, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'p' || (o_orderkey % 1000) END AS given, 'd' || (o_custkey % 3) AS document, '4.' || (o_custkey % 9) AS section, o_orderpriority, o_custkey FROM orders WHERE o_orderstatus <> 'P'),
+i AS (SELECT *, CASE WHEN given = '' THEN document || ':' || section || ':pair:1' ELSE given END AS own FROM o)
+SELECT CASE WHEN row_number() OVER (PARTITION BY own ORDER BY position) > 1 THEN document || ':' || section || ':' || own ELSE own END AS pair_id, document, section, CASE o_orderpriority WHEN '1-URGENT' THEN 0.9::DOUBLE WHEN '5-LOW' THEN 0.35::DOUBLE ELSE 0.65::DOUBLE END AS score FROM i""")
+def q_answered_pairs(spark, sf_dir):
+    pair = "array(named_struct('pair_id', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('p', o_orderkey % 1000) END, 'confidence', CASE o_orderpriority WHEN '1-URGENT' THEN 'High' WHEN '5-LOW' THEN 'Low' ELSE 'other' END, 'chinese_ids', array(concat('b', o_orderkey)), 'english_ids', cast(array() AS array<string>))) AS pairs"
+    results = _table(spark, sf_dir, "orders", "concat('d', o_custkey % 3) AS document", "concat('4.', o_custkey % 9) AS section", "o_orderkey AS position", "CASE o_orderstatus WHEN 'P' THEN 'Failed' WHEN 'F' THEN 'OK' ELSE 'Needs review' END AS status", "1 AS page_start", pair)
+    blocks = _table(spark, sf_dir, "orders", "concat('b', o_orderkey) AS block_id", "CAST(o_custkey % 50 AS INT) AS page").where("page > 5")
+    return R.answered_pairs(results, blocks).select("pair_id", "document", "section", "score")

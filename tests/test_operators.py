@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import similarity as S
 from lectern.functions import text as T
-from lectern.operators import ai, layout, pairing
+from lectern.operators import ai, layout, pairing, report
 from lectern.plans import registry
+from lectern.operators.pair_blocks import pair_blocks
 from lectern.sources import docx
 
 
@@ -81,6 +82,64 @@ def test_docx_scan(spark):
     assert [(r.kind, r.text, r.label, r.raw_page) for r in rows] == [("paragraph", "First", "1.0", 1), ("paragraph", "Child", "1.1", 1), ("paragraph", "Second", "2.0", 1), ("table_row", "a | b", None, 2)]
 
 
+def test_docx_merges_breaks_and_styles(spark):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t, style="", lead="": f'<w:p>{f"""<w:pPr><w:pStyle w:val="{style}"/></w:pPr>""" if style else ""}<w:r>{lead}<w:t>{t}</w:t></w:r></w:p>'
+    cell = lambda t, props="", inner="": f"<w:tc><w:tcPr>{props}</w:tcPr>{p(t)}{inner}</w:tc>"
+    nested = f"<w:tbl><w:tr>{cell('inner')}</w:tr></w:tbl>"
+    table = f"<w:tbl><w:tr>{cell('top', '<w:vMerge w:val=\"restart\"/>')}{cell('x', '<w:gridSpan w:val=\"2\"/>', nested)}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('y')}{cell('z')}</w:tr></w:tbl>"
+    body = p("Kept", "Sub") + p("After", "", "<w:lastRenderedPageBreak/>") + "<w:p><w:r><w:t>Split</w:t><w:lastRenderedPageBreak/><w:t>here</w:t></w:r></w:p>" + p("Plain", "Loop") + table
+    styles = f'<w:styles {w}><w:style w:styleId="Sub"><w:name w:val="own"/><w:basedOn w:val="Base"/></w:style><w:style w:styleId="Base"><w:name w:val="Heading 1"/></w:style><w:style w:styleId="Loop"><w:name w:val="a"/><w:basedOn w:val="Loop"/></w:style></w:styles>'
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", styles)
+    rows = docx.scan(spark.createDataFrame([("a.docx", bytearray(raw.getvalue()))], "path string, content binary")).orderBy("ord").collect()
+    assert [(r.text, r.raw_page, r.heading_style) for r in rows] == [("Kept", 1, True), ("After", 2, False), ("Splithere", 2, False), ("Plain", 3, False), ("top | x", 3, False), ("top | y | z", 3, False)]
+
+
+BLOCKS = "doc_id long, ord int, block_id string, page int, section string, text string, language string, content_class string, block_type string, ignored boolean, revision_id string, effective_date string, table_id string, row_index int, col_index int, y0 double, y1 double"
+
+
+def test_pairing_in_stages(spark):
+    def block(i, page, text, language, kind="paragraph", content="bilingual_prose"):
+        return (1, i, f"b{i}", page, "4.1", text, language, content, kind, False, None, None, None, None, None, None, None)
+
+    zh, en = "质量管理体系文件应当受控并保持最新状态。", "The documents of the quality management system shall be controlled and kept up to date at all times"
+    rows = [
+        block(0, 1, "杂项 Other small words", "mixed"), block(1, 1, zh, "zh"), block(2, 1, zh, "zh"), block(3, 1, en, "en"), block(4, 1, en + " by the owner.", "en"),
+        block(20, 3, "供应商评价记录应当保存五年。", "zh"), block(40, 4, "Records of supplier evaluation shall be kept for five years.", "en"),
+        block(60, 8, "孤立的一段文字没有对应。", "zh"), block(70, 12, "A lonely line of text.", "en"), block(71, 12, "ISO list", "en", content="regulatory_references"), block(72, 12, "", "en"), block(73, 12, "nothing", "unknown"),
+    ]
+    said = [(1, "b1", en), (1, "b2", en + " by the owner."), (1, "b20", "Records of supplier evaluation shall be kept for five years.")]
+    got = pair_blocks(spark.createDataFrame(rows, BLOCKS), spark.createDataFrame(said, "doc_id long, block_id string, translation string")).orderBy("position").collect()
+    assert [(r.source_block_ids, r.method, r.status) for r in got] == [
+        (["b0"], "translated_chinese_similarity", "uncertain"), (["b1", "b2", "b3", "b4"], "consecutive_paragraph_group", "confirmed"), (["b20", "b40"], "translated_chinese_similarity", "confirmed"),
+        (["b60"], "translated_chinese_similarity", "missing_english"), (["b70"], "translated_chinese_similarity", "missing_chinese"), (["b71"], "translated_chinese_similarity", "unpaired"), (["b73"], "translated_chinese_similarity", "unpaired"),
+    ]
+    assert got[0].chinese_text == "杂项" and got[0].english_text == "Other small words" and got[0].score == 0.74
+    assert got[2].semantic == pytest.approx(1.0) and got[2].should_check and not got[5].should_check
+    empty = pair_blocks(spark.createDataFrame([], BLOCKS), spark.createDataFrame([], "doc_id long, block_id string, translation string"))
+    assert empty.count() == 0 and set(empty.columns) == set(got[0].asDict())
+
+
+def test_bags_and_table_history(spark):
+    rows = spark.createDataFrame([("a b a 7.1.2 a", "a a c 7.1.2"), ("", "x"), ("x", "")], "l string, r string")
+    for r in rows.select(S.token_recall("l", "r").alias("x"), S.bag_recall(S.token_bag("l"), S.token_bag("r")).alias("y")).collect():
+        assert r.x == r.y
+    tables = [(1, "h", 0, ["A", "new", "2020-01-02"]), (1, "h", 1, ["B", "more", ""]), (1, "n", 0, ["A", "new", "2020-01-02"]), (1, "n", 1, ["bb", "", ""]), (1, "m", 0, ["QSP0401 8.2.1", "1", "2", "3", "4", "5"])]
+    got = {r.table_id: r.content_class for r in layout.table_class(spark.createDataFrame(tables, "doc_id long, table_id string, row_index int, cells array<string>")).collect()}
+    assert got == {"h": "change_history", "n": "bilingual_prose", "m": "regulatory_matrix"}
+
+
+def test_ranges_and_choices_that_fail(spark):
+    blocks = spark.createDataFrame([(1, "a"), (3, "b")], "page int, name string")
+    assert report.page_range(blocks, 2).count() == 1
+    for bad in (lambda: report.page_range(blocks, 3, 2), lambda: report.page_range(blocks, 4, 5), lambda: report.selected(blocks, "c")):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_ai_boundary(spark):
     asked = spark.createDataFrame([("k1", "{}"), ("k2", "{}")], "key string, payload string")
     cache = spark.createDataFrame([("k1", '{"items": []}')], "key string, answer string")

@@ -7,7 +7,7 @@ import pytest
 from lectern.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents benchmark labels conversations pages events".split()
+TABLES = "documents benchmark labels conversations pages events orders lineitem part".split()
 
 
 @pytest.fixture(scope="module")
