@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a frame to the folder that spark.checkpoint.dir names and reads it back; locally, where none is named, to one of its own."""
+    """Writes a frame to the folder that spark.checkpoint.dir names and reads it back; locally, where none is named, to one of its own. The table goes when the driver's JVM ends."""
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -20,4 +20,6 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", named)
     path = f"{named.rstrip('/')}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
