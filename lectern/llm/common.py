@@ -57,10 +57,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so that a lost executor costs no recomputation of what came before."""
+    """Writes a table to the shared folder and reads it back, so that a lost executor costs no recomputation of what came before.
+
+    The table goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
