@@ -28,7 +28,7 @@ from .vec import HashMap, code_points, differ, runs, slices, span_hashes, spread
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Bytes that the table of words met may take, and pairs of tokens whose compatibility is remembered; both are refilled when full.
-ROOM, PAIRS = 40_000_000, 200_000
+ROOM, PAIRS = 100_000_000, 1_000_000
 #: What may follow an apostrophe in a contraction.
 ONE, TWO = "stmd", ("re", "ve", "ll")
 
