@@ -107,10 +107,24 @@ class Vocabulary:
             self.merged[x, y] = z
         self.automaton = ahocorasick.Automaton()
         for s, k in self.ids.items():
-            if len(s) == 1 or k in self.halves:
+            if self.reachable(s, k):
                 self.automaton.add_word(s, (len(s), k))
         self.automaton.make_automaton()
-        self._compatible: dict[int, bool] = {}
+        #: Of the tokens that are a proper prefix of each token, the longest; -1 where there is none.
+        self.shorter = [self._shorter(s) for s in self.tokens]
+        #: Pairs, as left << 32 | right, whose compatibility is known; emptied, never replaced.
+        self.known: dict[int, bool] = {}
+
+    def reachable(self, s: str, token: int) -> bool:
+        """Whether merges make this token."""
+        return len(s) == 1 or token in self.halves
+
+    def _shorter(self, s: str) -> int:
+        for n in range(len(s) - 1, 0, -1):
+            token = self.ids.get(s[:n], -1)
+            if token >= 0 and self.reachable(s[:n], token):
+                return token
+        return -1
 
     def symbols(self, word: str) -> str:
         s = word.encode("utf-8", "surrogatepass").decode("latin-1")
@@ -125,7 +139,7 @@ class Vocabulary:
         that the moment is waiting for.
         """
         key = left << 32 | right
-        known = self._compatible.get(key)
+        known = self.known.get(key)
         if known is not None:
             return known
         a, b, bound = left, right, 1 << 62
@@ -143,9 +157,9 @@ class Vocabulary:
                 bound, a = a, made_a[1]
             else:
                 bound, b = b + 1, made_b[0]
-        if len(self._compatible) > PAIRS:
-            self._compatible.clear()
-        self._compatible[key] = good
+        if len(self.known) > PAIRS:
+            self.known.clear()
+        self.known[key] = good
         return good
 
     def piece_bytes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -172,43 +186,38 @@ class Backtracker:
     def __call__(self, word: str) -> list[int]:
         v, s = self.v, self.v.symbols(word)
         whole = v.ids.get(s)
-        starts: list[list[int]] = [[] for _ in s]
-        for end, (size, token) in v.automaton.iter(s):
-            starts[end + 1 - size].append(token)  # by growing end, so the longest comes last
-        if whole is not None and (not starts[0] or starts[0][-1] != whole):
-            whole = None
-        if whole is not None and self._alone(whole):
+        if whole is not None and v.reachable(s, whole) and self._alone(whole):
             return [whole]
         n, pos = len(s), 0
+        longest = [-1] * n  # of the tokens that begin at a place; matches come by growing end, so the last one stays
+        for end, (size, token) in v.automaton.iter(s):
+            longest[end + 1 - size] = token
+        tokens, shorter, known = v.tokens, v.shorter, v.known
         out: list[int] = []
-        left: list[list[int]] = []  # what may still be tried at each token's place
-        options = starts[0][:]
         dead = set()
-        lengths = v.tokens
-        compatible = v.compatible
-        while pos < n:
-            took = -1
-            while options:
-                t = options.pop()
-                after = pos + len(lengths[t])
-                if (after, t) in dead:
-                    continue
-                if not out or compatible(out[-1], t):
-                    took = t
-                    break
-            if took >= 0:
-                out.append(took)
-                left.append(options)
-                pos += len(lengths[took])
-                options = starts[pos][:] if pos < n else []
+        t = longest[0]
+        while True:
+            while t >= 0:
+                if not dead or (pos + len(tokens[t]), t) not in dead:
+                    if not out:
+                        break
+                    good = known.get(out[-1] << 32 | t)
+                    if v.compatible(out[-1], t) if good is None else good:
+                        break
+                t = shorter[t]
+            if t >= 0:
+                out.append(t)
+                pos += len(tokens[t])
+                if pos == n:
+                    return out
+                t = longest[pos]
                 continue
             if not out:
                 raise ValueError("the vocabulary does not cover this word")
             t = out.pop()
             dead.add((pos, t))
-            pos -= len(lengths[t])
-            options = left.pop()
-        return out
+            pos -= len(tokens[t])
+            t = shorter[t]
 
     def _alone(self, token: int) -> bool:
         made = self.v.halves.get(token)
@@ -226,11 +235,11 @@ class PrefixCounts:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
 
-    def _last(self, found, last: list[int]) -> tuple[int, int]:
-        for size, token, before in found:
-            prior = last[before]
-            if prior < 0 and before == 0 or prior >= 0 and self.v.compatible(prior, token):
-                return token, before
+    def _last(self, found, last: list[int]) -> int:
+        """Where the last token of a prefix begins, given the tokens (beginning, token) that end it."""
+        for before, token in found:
+            if before == 0 or last[before] >= 0 and self.v.compatible(last[before], token):
+                return before
         raise ValueError("the vocabulary does not cover this word")
 
     def total(self, word: str) -> int:
@@ -241,13 +250,19 @@ class PrefixCounts:
         v = self.v
         s = v.symbols(word)
         n = len(s)
-        ends: list[list[tuple[int, int, int]]] = [[] for _ in range(n + 1)]
+        last, count, known = [-1] * (n + 1), [0] * (n + 1), v.known
         for end, (size, token) in v.automaton.iter(s):
-            ends[end + 1].append((size, token, end + 1 - size))
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            last[i], before = self._last(ends[i], last)
-            count[i] = count[before] + 1
+            if last[end + 1] >= 0:
+                continue
+            before = end + 1 - size
+            if before:
+                prior = last[before]
+                good = known.get(prior << 32 | token) if prior >= 0 else False
+                if not (v.compatible(prior, token) if good is None else good):
+                    continue
+            last[end + 1], count[end + 1] = token, count[before] + 1
+        if -1 in last[1:]:
+            raise ValueError("the vocabulary does not cover this word")
         if not v.suffix or not every:
             return count
         out = [0] * (n + 1)
@@ -257,9 +272,8 @@ class PrefixCounts:
             for b in range(max(0, i - v.longest), i):
                 token = v.ids.get(s[b : i - 1] + chr(256 + ord(s[i - 1])))
                 if token is not None:
-                    closing.append((i - b, token, b))
-            _, before = self._last(closing, last)
-            out[i] = count[before] + 1
+                    closing.append((b, token))
+            out[i] = count[self._last(closing, last)] + 1
         return out
 
 
